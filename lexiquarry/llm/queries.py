@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard import jaccard_components
 from .sharding import shard
 
 
@@ -14,8 +15,33 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s
+), e AS (SELECT doc_id, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)
+), r(v, u) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.v, l.y FROM r JOIN l ON l.x = r.u
+)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT v, min(u) AS c FROM r GROUP BY v) m ON m.v = n.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL}
