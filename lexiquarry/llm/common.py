@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _ROOTS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,9 +70,8 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def local_path(uri: str) -> str:
-    return uri[len("file://"):] if uri.startswith("file://") else uri
-
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary file lies on this machine and, at the same place, on the others."""
+    import public_tokenizers
 
-def makedirs(uri: str) -> None:
-    os.makedirs(local_path(uri), exist_ok=True)
+    return str(public_tokenizers.path(name))
