@@ -10,6 +10,7 @@ from .common import table, tokenizer_path
 from .jaccard import jaccard_components
 from .sharding import shard
 from .token_store import token_store
+from .warc import warc_round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,15 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op9_token_store": op9_token_store,
+    "op10_warc": op10_warc,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -50,4 +56,17 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT v, min(u) AS c FROM r GROUP BY v) m ON m.v = n.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL}
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS s FROM pages
+), d AS (
+  SELECT page_id, n, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(s, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), 'string_agg', '') AS digest FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY digest)
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op10_warc": OP10_SQL}

@@ -25,7 +25,7 @@ def put(uri: str, parts: list) -> None:
 def get(uri: str) -> memoryview:
     system, path = at(uri)
     with system.open_input_file(path) as f:
-        return memoryview(f.read_buffer())
+        return memoryview(f.read_buffer()).cast("B")
 
 
 def files(uri: str, suffix: tuple[str, ...]) -> list[str]:
