@@ -12,8 +12,9 @@ from .graph import components
 from .wordbytes import LOWER, mix, shingle_sets, slices
 
 FRAGMENTS = 8
-#: Parity sketch of a set, in 64-bit words.
-SKETCH_WORDS = 16
+#: 64-bit words of the parity sketch of a set of up to SKETCH_SET n-grams; larger sets get twice,
+#: four times, ... as many, and meet smaller ones with the halves of their sketch folded together.
+SKETCH_WORDS, SKETCH_SET = 16, 2048
 #: The order puts up to so many of the most frequent n-grams last.
 FREQUENT = 65_536
 LOCAL_MIN, GLOBAL_MIN, LOCAL_BUFFER = 4, 16, 1 << 20
@@ -27,6 +28,12 @@ def _node(u: np.ndarray) -> int:
     return int(mix(np.add.reduce(mix(u ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True) + np.uint64(len(u))).view(np.int64)[0])
 
 
+def _sketch(u: np.ndarray) -> np.ndarray:
+    bits = 64 * SKETCH_WORDS << max(0, (len(u) // (SKETCH_SET // 2)).bit_length() - 1)
+    bit = (mix(u + np.uint64(99)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches, k: int):
     """(id, set) of each row."""
     for batch in batches:
@@ -112,9 +119,7 @@ def _prefixes(k: int, num: int, den: int, freq: np.ndarray, level: np.ndarray):
             seen.add(node)
             p = len(u) - -(-num * len(u) // den) + 1
             grams.append((_ordered(u, freq, level)[:p], node, len(u)))
-            bit = (mix(u + np.uint64(99)) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
-            odd = (np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
-            meta.append((node, len(u), np.packbits(odd).view(np.int64)))
+            meta.append((node, len(u), _sketch(u)))
             size += p
             if size >= 100_000:
                 yield from flush()
@@ -167,7 +172,16 @@ def _pairs(df: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, docs: DataFrame, k: int, rule: _Rule) -> DataFrame:
     """The links (a, b), as ids of representatives, among candidate pairs of sets."""
     s = lambda p: sketches.select(F.col("node").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
-    differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    words = F.least(F.size("bits_x"), F.size("bits_y"))
+
+    def folded(bits):
+        halves = F.zip_with(F.slice(bits, F.lit(1), words), F.slice(bits, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(bits) == 2 * words, halves).otherwise(bits)
+
+    differ = F.when(
+        F.greatest(F.size("bits_x"), F.size("bits_y")) <= 2 * words,
+        F.aggregate(F.zip_with(folded(F.col("bits_x")), folded(F.col("bits_y")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v),
+    ).otherwise(0)
     both = F.col("n_x").cast("long") + F.col("n_y")
     close = cut(
         pairs.join(s("x"), "x").join(s("y"), "y").where(differ <= both - 2 * rule.overlap(F.col("n_x"), F.col("n_y")))
