@@ -65,8 +65,11 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.nd
         lo = hi
 
 
-def words(low: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, bounds) of the words; words of text i are bounds[i]:bounds[i + 1]."""
+def words(low: np.ndarray, off: np.ndarray, kind: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, bounds) of the words; words of text i are bounds[i]:bounds[i + 1].
+
+    With longest, words of more bytes are cut into pieces of that many.
+    """
     n = len(low)
     if not n:
         z = np.zeros(0, np.int64)
@@ -83,6 +86,11 @@ def words(low: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarra
     after[:-1] = m[1:]
     after[heads[heads > 0] - 1] = False
     ends = np.flatnonzero(m & ~after) + 1
+    if longest and len(starts) and (ends - starts).max() > longest:
+        n = -(-(ends - starts) // longest)
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        starts, stops = np.repeat(starts, n) + nth * longest, np.repeat(ends, n)
+        ends = np.minimum(starts + longest, stops)
     bounds = np.searchsorted(starts, off)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64), bounds
