@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import langid, quality
 from .common import table, tokenizer_path
 from .jaccard import jaccard_components
+from .licenses import scan_licenses
 from .sharding import shard
 from .token_store import token_store
 from .warc import warc_round_trip
@@ -22,6 +23,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -43,6 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_licenses": op3_licenses,
     "op4_language_id": op4_language_id,
     "op6_quality": op6_quality,
     "op9_token_store": op9_token_store,
