@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import langid, quality
+from .ann import nearest
 from .common import table, tokenizer_path
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -37,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0)
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_language_id": op4_language_id,
     "op6_quality": op6_quality,
+    "op7_nearest": op7_nearest,
     "op9_token_store": op9_token_store,
     "op10_warc": op10_warc,
 }
