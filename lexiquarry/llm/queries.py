@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import langid, quality
 from .ann import nearest
 from .common import table, tokenizer_path
+from .decontam import contaminated
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .sharding import shard
@@ -42,6 +43,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0)
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_quality": op6_quality,
     "op7_nearest": op7_nearest,
+    "op8_decontamination": op8_decontamination,
     "op9_token_store": op9_token_store,
     "op10_warc": op10_warc,
 }
