@@ -39,7 +39,7 @@ def softmin_cost(sim: Column) -> Column:
 
 
 def softmin_of_cost(cost: Column) -> Column:
-    return F.lit(1.0) - F.log(F.lit(SOFTMIN_BASE), F.lit(1.0) + cost)
+    return F.lit(1.0) - F.log(SOFTMIN_BASE, F.lit(1.0) + cost)
 
 
 def softmin(*sims: Column | str) -> Column:
