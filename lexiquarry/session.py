@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes of a batch that goes to Python: documents may be long, and each task holds a few.
+BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for the functions that run there in Python."""
+    """Sends this package to the executors once, for the functions that run there in Python, and
+    bounds the batches that they get."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
