@@ -1,18 +1,24 @@
 """Words and shingles of whole batches of texts, as numpy arrays over their UTF-8 bytes.
 
-A batch of an Arrow string column is cut into slices of whole texts of about a megabyte, so memory
+A batch of an Arrow string column is cut into slices of whole texts of about half a megabyte, so memory
 follows the slice and the longest text, never the partition. Null texts count as empty.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -63,6 +69,14 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.nd
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def words(low: np.ndarray, off: np.ndarray, kind: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
