@@ -18,6 +18,9 @@ SKETCH_WORDS, SKETCH_SET = 16, 2048
 #: The order puts up to so many of the most frequent n-grams last.
 FREQUENT = 65_536
 LOCAL_MIN, GLOBAL_MIN, LOCAL_BUFFER = 4, 16, 1 << 20
+#: A prefix is longer than one shared n-gram asks for by a share of what sets may differ by; in
+#: return, linked sets share as many more n-grams of it.
+EXTRA = 10
 #: Ids to which documents are matched by a broadcast (8 MB); beyond it by a shuffle.
 BROADCAST_IDS = 1_000_000
 SEEN = 1 << 18
@@ -117,7 +120,8 @@ def _prefixes(k: int, num: int, den: int, freq: np.ndarray, level: np.ndarray):
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(node)
-            p = len(u) - -(-num * len(u) // den) + 1
+            free = len(u) - -(-num * len(u) // den)
+            p = min(len(u), free + 1 + free // EXTRA)
             grams.append((_ordered(u, freq, level)[:p], node, len(u)))
             meta.append((node, len(u), _sketch(u)))
             size += p
@@ -158,20 +162,30 @@ class _Rule:
     def overlap(self, n: Column, m: Column) -> Column:
         return F.ceil((n + m).cast("long") * F.lit(self.num) / F.lit(self.num + self.den) - F.lit(1e-9))
 
+    def similar_size(self, a: str, b: str) -> Column:
+        n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+        return F.least(n, m) * self.den >= F.greatest(n, m) * self.num
+
     def may_link(self, a: str, b: str) -> Column:
-        """Lengths and places of a shared prefix n-gram allow the overlap."""
+        """Lengths, and places of what may be the first shared n-gram, allow the overlap."""
         n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
         rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at")) + 1
-        return (F.least(n, m) * self.den >= F.greatest(n, m) * self.num) & (rest >= self.overlap(n, m))
+        return self.similar_size(a, b) & (rest >= self.overlap(n, m))
+
+
+    def shared(self, n: Column) -> Column:
+        """How many n-grams of its prefix a set of n shares with any it is linked to."""
+        n = n.cast("long")
+        return 1 + F.floor((n - F.floor((n * self.num + (self.den - 1)) / self.den)) / EXTRA)
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).where("x != y").distinct()
+def _ordered_pair() -> tuple[Column, Column]:
+    return F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, docs: DataFrame, k: int, rule: _Rule) -> DataFrame:
-    """The links (a, b), as ids of representatives, among candidate pairs of sets."""
-    s = lambda p: sketches.select(F.col("node").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
+def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, rule: _Rule) -> DataFrame:
+    """The links (a, b), as ids of representatives, among candidate pairs (x, y) of sets."""
+    s = lambda p, q: sketches.select(F.col("node").alias(p), F.col("id").alias(q), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
     words = F.least(F.size("bits_x"), F.size("bits_y"))
 
     def folded(bits):
@@ -183,12 +197,8 @@ def _verify(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, docs: DataFr
         F.aggregate(F.zip_with(folded(F.col("bits_x")), folded(F.col("bits_y")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v),
     ).otherwise(0)
     both = F.col("n_x").cast("long") + F.col("n_y")
-    close = cut(
-        pairs.join(s("x"), "x").join(s("y"), "y").where(differ <= both - 2 * rule.overlap(F.col("n_x"), F.col("n_y")))
-        .join(reps.select(F.col("node").alias("x"), F.col("id").alias("a")), "x").join(reps.select(F.col("node").alias("y"), F.col("id").alias("b")), "y")
-        .select("x", "y", "a", "b", "n_x", "n_y"),
-        "close-pairs",
-    )
+    close = pairs.join(s("x", "a"), "x").join(s("y", "b"), "y").where(differ <= both - 2 * rule.overlap(F.col("n_x"), F.col("n_y")))
+    close = cut(close.select("x", "y", "a", "b", "n_x", "n_y"), "close-pairs")
     ids = cut(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "close-ids")
     few = ids.count() <= BROADCAST_IDS
     picked = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -209,8 +219,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     global n-gram order: hash order with the most frequent n-grams last. In every meeting point
     each node is first paired with the most central one; only nodes that this leaves in another
     component than that one are then paired with the other members, so a group of near copies
-    costs pairs in proportion to its size. Length, position and parity-sketch bounds drop pairs
-    without loss. For the rest, the order is cut into fragments, the overlap of each fragment is
+    costs pairs in proportion to its size. Bounds by length, by position, by the number of shared
+    prefix n-grams and by parity sketches drop pairs without loss. For the rest, the order is cut into fragments, the overlap of each fragment is
     counted separately, and the counts are summed for each pair. No link between different sets
     is lost; only links within one component may stay uncounted.
 
@@ -227,21 +237,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     reps = cut(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id")), "representatives")
     second = cut(base.mapInArrow(_prefixes(words, num, den, gram[order], level[order]), "gram long, node long, n int, at int, bits array<long>"), "prefixes")
-    sketches = second.where("bits is not null").dropDuplicates(["node"]).select("node", "n", "bits")
+    sketches = cut(second.where("bits is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(reps, "node"), "sketches")
     postings = second.where("bits is null").select("gram", "node", "n", "at")
     met = postings.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     postings = cut(postings.join(met, "gram").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")), "postings")
     centre = cut(postings.groupBy("gram").agg(F.min(F.struct("at", "n", "node")).alias("m"), F.count("*").alias("c")).where("c > 1").select("gram", "m.*"), "centres")
 
-    star = _pairs(postings.alias("a").join(centre.alias("b"), "gram").where(rule.may_link("a", "b")))
-    links = _verify(star, sketches, reps, base, words, rule)
+    star = cut(postings.alias("a").join(centre.alias("b"), "gram").where(rule.may_link("a", "b")).select(*_ordered_pair()).where("x != y").distinct(), "star-pairs")
+    links = _verify(star, sketches, base, words, rule)
 
     labels = components(links)
     node_label = cut(reps.join(labels.withColumnRenamed("v", "id"), "id", "left").select("node", F.coalesce("c", "id").alias("c")), "node-labels")
-    held = postings.join(node_label, "node")
-    apart = held.join(centre.join(node_label, "node").select("gram", F.col("c").alias("cc"), F.col("node").alias("m")), "gram").where("c != cc")
-    rest = _pairs(apart.alias("a").join(held.alias("b"), "gram").where((F.col("a.c") != F.col("b.c")) & (F.col("b.node") != F.col("a.m")) & rule.may_link("a", "b")))
-    more = _verify(rest, sketches, reps, base, words, rule)
+    held = cut(postings.join(node_label, "node"), "labelled-postings")
+    apart = held.join(centre.join(node_label, "node").select("gram", F.col("c").alias("cc")), "gram").where("c != cc")
+    met = apart.alias("a").join(held.alias("b"), "gram").where((F.col("a.c") != F.col("b.c")) & rule.similar_size("a", "b"))
+    # shared n-grams are counted once or twice, never less than they are
+    counted = met.select(*_ordered_pair(), F.least(rule.shared(F.col("a.n")), rule.shared(F.col("b.n"))).alias("need"), rule.may_link("a", "b").alias("may"))
+    rest = counted.groupBy("x", "y", "need").agg(F.count("*").alias("shared"), F.max("may").alias("may")).where("may and shared >= need").select("x", "y")
+    more = _verify(rest.join(star, ["x", "y"], "left_anti"), sketches, base, words, rule)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     whole = reps.join(labels.withColumnRenamed("v", "id"), "id", "left").select("node", F.coalesce("c", "id").alias("c"))
