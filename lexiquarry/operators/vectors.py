@@ -109,14 +109,25 @@ def norm_cut(norms: DataFrame, n_vocab: int, rank: int = RANK) -> float:
     return float(norms.where(F.col("tok") < head).orderBy("norm").limit(at + 1).agg(F.max("norm")).first()[0])
 
 
-def coefficient(norms: DataFrame, n_vocab: int, length: int, rank: int = RANK) -> tuple[float, float]:
-    """(coefficient, norm cut). Where fewer words than needed are eligible, the last of them counts."""
+def lowest_norms(norms: DataFrame, n_vocab: int, rank: int = RANK) -> tuple[list[float], float]:
+    """(the lowest norms of words that may be inserted, rank + 1 of them; the norm cut)."""
     cut = norm_cut(norms, n_vocab, rank)
-    low = [r.norm for r in norms.where((F.col("tok") < n_vocab - 1) & (F.col("norm") <= cut)).orderBy("norm").limit(rank + 1).collect()]
+    low = norms.where((F.col("tok") < n_vocab - 1) & (F.col("norm") <= cut)).orderBy("norm").limit(rank + 1).collect()
+    return [r.norm for r in low], cut
+
+
+def coefficient_of(low: list[float], length: int, rank: int = RANK) -> float:
+    """Where fewer words than needed are eligible, the last of them counts; 0 for none."""
     if not low:
-        return 0.0, cut
+        return 0.0
     at = next((i - 1 for i in range(1, min(rank, len(low))) if low[i] >= UNEDITABLE), min(rank, len(low) - 1))
-    return low[at] * length / 5.0, cut
+    return low[at] * length / 5.0
+
+
+def coefficient(norms: DataFrame, n_vocab: int, length: int, rank: int = RANK) -> tuple[float, float]:
+    """(coefficient, norm cut)."""
+    low, cut = lowest_norms(norms, n_vocab, rank)
+    return coefficient_of(low, length, rank), cut
 
 
 def insert_words(norms: DataFrame, n_vocab: int, coef: float, cut: float, floor: float) -> DataFrame:

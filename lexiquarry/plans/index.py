@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from math import exp
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import GRAM, l2_normalize
+from ..functions.columns import GRAM, edit_multiplier, l2_normalize, similarity
 from ..operators import grams as G
 from ..operators import kwic as K
 from ..operators import soft
@@ -45,7 +46,9 @@ class Index:
     cap: int
     tokenizer: RegexTokenizer = WORDS
     timers: Stopwatches = field(default_factory=Stopwatches)
-    _names: dict[str, int | None] = field(default_factory=dict)
+    _names: dict[str, Row | None] = field(default_factory=dict)
+    _lexicon: DataFrame | None = None
+    _low: tuple[list[float], float] | None = None
 
     @classmethod
     def plan(cls, docs: DataFrame, vectors: DataFrame, tokenizer: RegexTokenizer = WORDS, cap: int | None = None) -> Index:
@@ -66,8 +69,8 @@ class Index:
     def build(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame, path: str, tokenizer: RegexTokenizer = WORDS, cap: int | None = None, memory_mb: int = 100) -> Index:
         """Writes the tables under path, then opens them.
 
-        grams is range-partitioned and sorted by its ids, so that a prefix's rows are few row groups
-        of few files and Parquet's bounds are the sparse index.
+        windows (the suffix order) and grams are range-partitioned and sorted by their ids, so that
+        a prefix's rows are few row groups of few files and Parquet's bounds are the sparse index.
         """
         timers = Stopwatches()
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -84,8 +87,8 @@ class Index:
             put(TK.token_stream(words, vocab, cap), "stream")
             stream = get("stream")
         with timers["grams"]:
-            grams = G.distinct_grams(G.windows(stream, cap))
-            put(grams.repartitionByRange("t0", "t1", "t2").sortWithinPartitions(*G.T), "grams")
+            put(G.windows(stream, cap).repartitionByRange("t0", "t1", "t2").sortWithinPartitions(*G.T, "pos"), "windows")
+            put(G.distinct_grams(get("windows")).repartitionByRange("t0", "t1", "t2").sortWithinPartitions(*G.T), "grams")
             grams = get("grams")
         with timers["norms"]:
             put(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id") < cap), "vectors")
@@ -108,37 +111,48 @@ class Index:
         meta = cls.meta(spark, path)
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         vectors = get("vectors").withColumn("embedding", l2_normalize("embedding"))
-        stream = get("stream")
-        return cls(get("docs"), get("vocab"), stream, G.windows(stream, meta["cap"]), get("grams"), vectors, get("norms"), meta["cap"], RegexTokenizer(*meta["tokenizer"]))
+        return cls(get("docs"), get("vocab"), get("stream"), get("windows"), get("grams"), vectors, get("norms"), meta["cap"], RegexTokenizer(*meta["tokenizer"]))
 
     @staticmethod
     def meta(spark: SparkSession, path: str) -> dict:
         return json.loads(spark.read.text(f"{path}/meta").first()[0])
 
+    @property
+    def lexicon(self) -> DataFrame:
+        """(tok, token, norm, embedding) of the words that occur: what a search asks of the vocabulary."""
+        if self._lexicon is None:
+            both = self.vectors.select(F.col("vec_id").cast("int").alias("tok"), "embedding").join(self.norms.select(F.col("tok").cast("int").alias("tok"), "norm"), "tok")
+            self._lexicon = self.vocab.select("tok", "token").join(both, "tok").select("tok", "token", "norm", "embedding")
+        return self._lexicon
+
     def cached(self) -> Index:
         """Keeps the tables that every search reads."""
-        for name in ("vocab", "grams", "vectors", "norms"):
+        self._lexicon = self.lexicon.persist()
+        for name in ("grams", "norms"):
             setattr(self, name, getattr(self, name).persist())
         return self
 
     def split(self, phrase: str) -> list[str]:
-        """The phrase's tokens, by the expression that split the corpus."""
-        spark = self.docs.sparkSession
-        return list(spark.range(1).select(self.tokenizer.tokens(F.lit(phrase)).alias("w")).first()["w"])
+        """The phrase's tokens, by the expression that split the corpus (a local plan, no job)."""
+        one = self.docs.sparkSession.createDataFrame([(phrase,)], "p string")
+        return list(one.select(self.tokenizer.tokens(F.col("p")).alias("w")).first()["w"])
 
-    def ids(self, words: list[str]) -> list[int]:
-        """Ids of 1 to 12 known words; PhraseTooLong or UnknownWord otherwise."""
+    def known(self, words: list[str]) -> list[Row]:
+        """(tok, token, norm, embedding) of 1 to 12 known words; PhraseTooLong or UnknownWord otherwise."""
         if len(words) > GRAM:
             raise PhraseTooLong(f"a phrase has {GRAM} tokens at most; this one has {len(words)}")
-        new = [w for w in words if w not in self._names]
+        new = [w for w in dict.fromkeys(words) if w not in self._names]
         if new:
-            found = {r.token: r.tok for r in self.vocab.where(F.col("token").isin(new)).collect()}
+            found = {r.token: r for r in self.lexicon.where(F.col("token").isin(new)).collect()}
             self._names |= {w: found.get(w) for w in new}
         for w in words:
-            if self._names[w] is None or self._names[w] >= self.cap - 1:
+            if self._names[w] is None:
                 raise UnknownWord(f'word "{w}" is unknown, so nothing matches')
         return [self._names[w] for w in words]
 
+    def ids(self, words: list[str]) -> list[int]:
+        return [r.tok for r in self.known(words)]
+
     def count(self, phrase: str) -> DataFrame:
         return G.exact_count(self.grams, self.ids(self.split(phrase)))
 
@@ -147,34 +161,38 @@ class Index:
         ids = self.ids(words)
         return K.kwic(self.docs, self.windows, self.stream, ids, words[-1], display, padding, self.tokenizer)
 
-    def costs(self, ids: list[int], min_similarity: float) -> tuple[list[dict[int, float]], dict[int, float], list[float]]:
-        """(similar words of each position, insertable words, deletion multipliers), as the vocabulary bounds them."""
+    def costs(self, words: list[Row], min_similarity: float) -> tuple[list[dict[int, float]], dict[int, float], list[float]]:
+        """(similar words of each position, insertable words, deletion multipliers), by one pass over the
+        vocabulary, whose cap bounds them."""
         floor = max(soft.LEAST_SIMILARITY, min_similarity)
-        spark = self.docs.sparkSession
-        known = {r.vec_id: r.embedding for r in self.vectors.where(F.col("vec_id").isin(sorted(set(ids)))).collect()}
-        pattern = spark.createDataFrame([(i, known[t]) for i, t in enumerate(ids)], "idx int, embedding array<double>")
-        sims: list[dict[int, float]] = [{} for _ in ids]
-        for r in V.similar_words(pattern, self.vectors, floor, self.cap).collect():
-            sims[r.idx][int(r.tok)] = float(r.sim)
-        coef, cut = V.coefficient(self.norms, self.cap, len(ids))
-        norm = {r.tok: r.norm for r in self.norms.where(F.col("tok").isin(sorted(set(ids)))).collect()}
-        if coef <= 0:
-            return sims, {}, [0.0] * len(ids)
-        from math import exp
-
-        insert = {int(r.tok): float(r.mult) for r in V.insert_words(self.norms, self.cap, coef, cut, floor).collect()}
-        return sims, insert, [exp(-norm[t] / coef) for t in ids]
+        if self._low is None:
+            self._low = V.lowest_norms(self.norms, self.cap)
+        coef = V.coefficient_of(self._low[0], len(words))
+        vectors = [F.array(*[F.lit(float(x)) for x in r.embedding]) for r in words]
+        sims = F.array(*[similarity("embedding", v) for v in vectors])
+        mult = edit_multiplier("norm", coef) if coef > 0 else F.lit(0.0)
+        mult = F.when(F.col("norm") <= self._low[1], mult).otherwise(0.0)
+        near = self.lexicon.select("tok", sims.alias("sims"), mult.alias("mult")).where(F.exists("sims", lambda x: x >= floor) | (F.col("mult") >= floor))
+        match: list[dict[int, float]] = [{} for _ in words]
+        insert: dict[int, float] = {}
+        for r in near.collect():
+            for i, s in enumerate(r.sims):
+                if s >= floor:
+                    match[i][r.tok] = float(s)
+            if r.mult >= floor:
+                insert[r.tok] = float(r.mult)
+        return match, insert, [exp(-r.norm / coef) if coef > 0 else 0.0 for r in words]
 
     def search(self, phrase: str, k: int | None = 20, min_similarity: float = 0.45) -> DataFrame:
         """(rank, score, match_count, phrase): what occurs and is close to the phrase, best first."""
-        return soft.render(soft.ranked(self._found(self.ids(self.split(phrase)), min_similarity), k), self.vocab).select("rank", "score", "match_count", "phrase").orderBy("rank")
+        return soft.render(soft.ranked(self._found(self.known(self.split(phrase)), min_similarity), k), self.vocab).select("rank", "score", "match_count", "phrase").orderBy("rank")
 
-    def _found(self, ids: list[int], min_similarity: float) -> DataFrame:
+    def _found(self, words: list[Row], min_similarity: float) -> DataFrame:
         threshold = soft.effective_threshold(min_similarity)
-        sims, insert, delete = self.costs(ids, min_similarity)
+        sims, insert, delete = self.costs(words, min_similarity)
         match = sorted({t for s in sims for t in s})
         allowed = sorted({*match, *insert})
-        longest = min(GRAM, (1 + soft.MAX_INSERT) * len(ids) - soft.MAX_INSERT)
+        longest = min(GRAM, (1 + soft.MAX_INSERT) * len(words) - soft.MAX_INSERT)
         return soft.scored(soft.candidates(self.grams, match, allowed, longest), sims, insert, delete, threshold)
 
     def search_batch(self, phrases: list[tuple[int, str]], k: int = 20, min_similarity: float = 0.45) -> DataFrame:
