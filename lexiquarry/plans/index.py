@@ -128,13 +128,13 @@ class Index:
     def cached(self) -> Index:
         """Keeps the tables that every search reads."""
         self._lexicon = self.lexicon.persist()
-        for name in ("grams", "norms"):
+        for name in ("vocab", "grams", "norms"):
             setattr(self, name, getattr(self, name).persist())
         return self
 
     def split(self, phrase: str) -> list[str]:
         """The phrase's tokens, by the expression that split the corpus (a local plan, no job)."""
-        one = self.docs.sparkSession.createDataFrame([(phrase,)], "p string")
+        one = self.docs.sparkSession.sql("SELECT :p AS p", args={"p": phrase})
         return list(one.select(self.tokenizer.tokens(F.col("p")).alias("w")).first()["w"])
 
     def known(self, words: list[str]) -> list[Row]:
@@ -185,7 +185,7 @@ class Index:
 
     def search(self, phrase: str, k: int | None = 20, min_similarity: float = 0.45) -> DataFrame:
         """(rank, score, match_count, phrase): what occurs and is close to the phrase, best first."""
-        return soft.render(soft.ranked(self._found(self.known(self.split(phrase)), min_similarity), k), self.vocab).select("rank", "score", "match_count", "phrase").orderBy("rank")
+        return soft.ranked(soft.render(soft.best(self._found(self.known(self.split(phrase)), min_similarity), k), self.vocab))
 
     def _found(self, words: list[Row], min_similarity: float) -> DataFrame:
         threshold = soft.effective_threshold(min_similarity)
