@@ -28,7 +28,7 @@ from .common import cut, scratch
 MAGIC = b"LQDAC\x00\x00\x01"
 FILE_TEXT_BYTES = 32 << 20
 #: Pieces of text whose ids a worker keeps.
-MEMO = 600_000
+MEMO = 800_000
 
 
 class Writer:
@@ -168,18 +168,34 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for w, i in vocab.items() if w[0] == "\u0120"]] = True
         self.of: dict[str, int] = {}
-        self.flat = np.array([end], np.uint32)
-        # place 0 is the end id, place 1 stands for pieces that can't stand alone
-        self.start, self.length = np.zeros(2, np.int64), np.array([1, 0], np.int64)
-        self.uses = np.zeros(2, np.int64)
+        # place 0 is the end id, place 1 stands for pieces that can't stand alone; room is doubled
+        self.room = {"flat": np.array([end], np.uint32), "start": np.zeros(2, np.int64), "length": np.array([1, 0], np.int64), "uses": np.zeros(2, np.int64)}
+        self.size = {"flat": 1, "start": 2, "length": 2, "uses": 2}
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        """flat, start, length and uses: the part of their room in use."""
+        if name not in ("flat", "start", "length", "uses"):
+            raise AttributeError(name)
+        return self.room[name][: self.size[name]]
+
+    def _extend(self, name: str, more: np.ndarray) -> None:
+        n, kept = self.size[name] + len(more), self.room[name]
+        if n > len(kept):
+            self.room[name] = np.empty(2 * n, kept.dtype)
+            self.room[name][: self.size[name]] = kept[: self.size[name]]
+        self.room[name][self.size[name] : n] = more
+        self.size[name] = n
+
+    def _set(self, name: str, value: np.ndarray) -> None:
+        self.room[name], self.size[name] = value, len(value)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, new: list[str]) -> None:
-        whole = [p for p in new if p and not (p[0].isspace() or p[-1].isspace())]
+        whole = [p for p in new if p and p.strip() == p]
         if len(whole) < len(new):
-            self.of.update(dict.fromkeys([p for p in new if not p or p[0].isspace() or p[-1].isspace()], 1))
+            self.of.update(dict.fromkeys([p for p in new if not p or p.strip() != p], 1))
         if not whole:
             return
         texts = [" " + " ".join(whole[i : i + 1024]) for i in range(0, len(whole), 1024)]
@@ -192,10 +208,10 @@ class Encoder:
         else:
             lens = np.diff(np.append(heads, len(ids)))
         self.of.update(zip(whole, range(len(self.start), len(self.start) + len(whole))))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lens) - lens])
-        self.length = np.concatenate([self.length, lens])
-        self.flat = np.concatenate([self.flat, ids])
-        self.uses = np.concatenate([self.uses, np.zeros(len(whole), np.int64)])
+        self._extend("start", len(self.flat) + np.cumsum(lens) - lens)
+        self._extend("length", lens)
+        self._extend("flat", ids)
+        self._extend("uses", np.zeros(len(whole), np.int64))
 
     def _forget(self) -> None:
         """Keeps what was used more than once, half of the room at most."""
@@ -207,9 +223,10 @@ class Encoder:
         self.of = {p: int(place[i]) for p, i in self.of.items() if keep[i] and i > 1}
         start, lens = self.start[keep], self.length[keep]
         total = np.cumsum(lens)
-        self.flat = self.flat[np.arange(int(total[-1])) + np.repeat(start - (total - lens), lens)]
-        self.start, self.length, self.uses = total - lens, lens, np.zeros(len(lens), np.int64)
-        self.start[0] = 0
+        self._set("flat", self.flat[np.arange(int(total[-1])) + np.repeat(start - (total - lens), lens)])
+        self._set("start", total - lens)
+        self._set("length", lens)
+        self._set("uses", np.zeros(len(lens), np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in each text with its end, all ids)."""
@@ -229,7 +246,8 @@ class Encoder:
             names = [pieces[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(names)))
             which[missing] = np.fromiter(map(self.of.__getitem__, names), np.int64, len(names))
-        self.uses += np.bincount(which, minlength=len(self.uses))
+        used, times = np.unique(which, return_counts=True) if len(which) < len(self.uses) // 8 else (slice(None), np.bincount(which, minlength=len(self.uses)))
+        self.uses[used] += times
         counts = np.array(counts, np.int64)
         last = np.cumsum(counts)
         odd = np.add.reduceat(np.append(which == 1, False), last - counts) * (counts > 0) > 0
@@ -278,7 +296,7 @@ def _write(folder: str, tokenizer: str, end: int):
                         close()
                     writer, part = Writer(), parts[lo]
                 texts, size, hi = [], 0, lo
-                while hi < len(ids) and parts[hi] == part and size < 2 << 20:
+                while hi < len(ids) and parts[hi] == part and size < 4 << 20:
                     texts.append(batch.column(2)[hi].as_py() or "")
                     size += len(texts[-1])
                     hi += 1
