@@ -379,12 +379,20 @@ k AS (SELECT q, score, ' ' || array_to_string(q, ' ') || ' ' AS h FROM c)"""
 
 @query(f"WITH {_WIN}{_C3} SELECT array_to_string(q, ' ') AS phrase, score FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.q <> k.q AND contains(k.h, o.h) AND (o.score > k.score OR (o.score = k.score AND o.q < k.q)))")
 def containment_suppress(spark, d):
+    """Over sequences of ids under 40 only, as its SQL has it; containment_suppress_all takes all ids."""
     wins = _Corpus(spark, d).windows
     part = lambda n: wins.where(" and ".join(f"t{i} < 40" for i in range(n))).groupBy(F.array(*G.T[:n]).alias("seq")).agg((F.count("*") * float(2 ** (n - 1))).alias("score"))
     kept = pruning.suppress_containing(part(1).unionByName(part(2)).unionByName(part(3)))
     return kept.select(F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias("phrase"), "score")
 
 
+@query()
+def containment_suppress_all(spark, d):
+    """All sequences of one to three ids; the SQL's pairs are too many for them."""
+    kept = pruning.suppress_grams(_Corpus(spark, d).windows)
+    return kept.select(F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias("phrase"), "score")
+
+
 # --- soft search ----------------------------------------------------------------------------------------
 
 _SOFT2 = f"""WITH {_WIN}, e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / (sqrt({_DOT.format('embedding', 'embedding')}) + 1e-12)) AS v FROM embeddings),
