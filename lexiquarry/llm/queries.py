@@ -52,7 +52,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0)
+    return token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0, literal=False)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,12 +144,12 @@ class Reader:
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str, literal: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = literal
     return t
 
 
@@ -159,11 +159,14 @@ class Encoder:
     A text may be cut before a single space between two characters that are no white space: no
     pre-token of a byte-level tokenizer spans such a place, so the pieces' ids are the text's.
     New pieces are encoded as one text of their own, in which each token that starts with a space
-    starts a piece. A text with other white space beside a space is encoded whole.
+    starts a piece. A text with other white space beside a space is encoded whole, as is one that
+    holds an added token's content, which the library finds before it cuts pre-tokens. With literal,
+    special tokens' contents are text like any other; without, the ids are those of a plain call.
     """
 
-    def __init__(self, path: str, end: int):
-        self.t = _tokenizer(path)
+    def __init__(self, path: str, end: int, literal: bool = True):
+        self.t = _tokenizer(path, literal)
+        self.added = [x.content for x in self.t.get_added_tokens_decoder().values() if not (literal and x.special)]
         vocab = self.t.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for w, i in vocab.items() if w[0] == "\u0120"]] = True
@@ -237,7 +240,7 @@ class Encoder:
         pieces: list[str] = []
         heads, counts = [], []
         for t in texts:
-            p = t.split(" ")
+            p = [t] if any(a in t for a in self.added) else t.split(" ")
             heads.append(p[0])
             pieces += p[1:]
             counts.append(len(p) - 1)
@@ -271,16 +274,16 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str, end: int) -> Encoder:
+def _encoder(path: str, end: int, literal: bool) -> Encoder:
     """One for each worker process: later tasks find what earlier ones have learned."""
-    return Encoder(path, end)
+    return Encoder(path, end, literal)
 
 
-def _write(folder: str, tokenizer: str, end: int):
+def _write(folder: str, tokenizer: str, end: int, literal: bool):
     schema = pa.schema([("part", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
-        encoder, writer, part, done = _encoder(tokenizer, end), Writer(), None, []
+        encoder, writer, part, done = _encoder(tokenizer, end, literal), Writer(), None, []
 
         def close():
             uri = f"{folder}/tokens-{part:07d}.dac"
@@ -323,12 +326,12 @@ def _read(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(r.ids[lo:hi], pa.int64()), pa.array(r.starts[lo:hi] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_TEXT_BYTES, literal: bool = True) -> DataFrame:
     """Encodes every whole text and writes files in ascending id order; gives (part, uri, docs, tokens).
 
     Ids are dealt by quantiles, taken from the id column, into one file for about file_bytes of
     text each; a file holds its documents in id order (null ids first, rows of one id by text). Null
-    and empty texts have the end id alone. A file is written under another name and renamed, so
+    and empty texts have the end id alone. literal: see Encoder. A file is written under another name and renamed, so
     tasks can run again.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -346,7 +349,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_
         blocks = F.array(*[arr(cuts[i : i + step]) for i in range(0, len(cuts), step)])
         part = F.when(F.col("id").isNull(), 0).otherwise(coarse * step + F.size(F.filter(F.element_at(blocks, coarse + 1), lambda b: b < F.col("id"))))
     dealt = base.select(part.cast("int").alias("part"), "id", "text").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "id", "text")
-    return cut(dealt.mapInArrow(_write(folder, tokenizer, end), "part int, uri string, docs long, tokens long"), "token-files")
+    return cut(dealt.mapInArrow(_write(folder, tokenizer, end, literal), "part int, uri string, docs long, tokens long"), "token-files")
 
 
 def read_tokens(written: DataFrame) -> DataFrame:
@@ -360,6 +363,6 @@ def read_tokens(written: DataFrame) -> DataFrame:
     return listed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_store(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    out = read_tokens(write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer, end, id_col, text_col))
+def token_store(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", literal: bool = True) -> DataFrame:
+    out = read_tokens(write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer, end, id_col, text_col, literal=literal))
     return out.withColumnRenamed("doc_id", id_col)
