@@ -21,6 +21,7 @@ from ..operators.tokenizers import LETTERS, SPACES, WORDS
 from ..sources import text as S
 from ..streaming.counts import token_frequency_stream
 from .index import Index
+from .sizing import table_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -275,6 +276,34 @@ def ngram_trichotomy(spark, d):
     return G.triple_state(pairs, G.trigram_set(wins, TRIPLES_BELOW), TRIPLES_BELOW).withColumnRenamed("state", "triple_state")
 
 
+def _bounds(wins: DataFrame, cap: int) -> tuple[int, int]:
+    """(pairs below, triples below) as Index.build takes them for this many tokens."""
+    sizes = table_sizes(wins.count())
+    return min(sizes.pair_below, cap - 1), sizes.trio_below
+
+
+@query()
+def bigram_set_sized(spark, d):
+    """bigram_set with the bound of a built index; so are the two after it."""
+    c = _Corpus(spark, d)
+    return G.bigram_set(c.windows, _bounds(c.windows, c.cap)[0])
+
+
+@query()
+def trigram_set_sized(spark, d):
+    c = _Corpus(spark, d)
+    return G.trigram_set(c.windows, _bounds(c.windows, c.cap)[1])
+
+
+@query()
+def ngram_trichotomy_sized(spark, d):
+    c = _Corpus(spark, d)
+    wins, sh = c.windows, _shuffled(c, spark, d)
+    below, sum_below = _bounds(wins, c.cap)
+    pairs = G.pair_state(sh, G.bigram_set(wins, below), below).withColumnRenamed("state", "pair_state")
+    return G.triple_state(pairs, G.trigram_set(wins, sum_below), sum_below).withColumnRenamed("state", "triple_state")
+
+
 @query(f"""WITH {_WIN}, a AS (SELECT t2, count(*) AS cnt FROM g WHERE t0 = {_IDS.format('on')} AND t1 = {_IDS.format('the')} GROUP BY t2)
 SELECT {_IDS.format('on')} AS t0, {_IDS.format('the')} AS t1, t2 AS next_tok, cnt FROM a""")
 def continuations(spark, d):
