@@ -35,7 +35,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.segment(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+    return pieces.segment(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
