@@ -212,15 +212,15 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.
 
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> list[ItemIndex]:
     """Indexes of INDEX_BYTES of items each, with document frequencies over all items."""
-    base = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and id is not null").dropDuplicates(["id", "text"])
+    base = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").dropDuplicates(["id", "text"])
     size = int(base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     parts = -(-size // INDEX_BYTES) or 1
     df: dict[int, int] = {}
     total = length = 0
     shards = []
     for p in range(parts):
-        rows = base.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).collect() if parts > 1 else base.collect()
-        rows = sorted((r.id, r.text) for r in rows if len(item_words(r.text)))
+        rows = base.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p).collect() if parts > 1 else base.collect()
+        rows = sorted(((r.id, r.text) for r in rows if len(item_words(r.text))), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         for _, t in rows:
             w = item_words(t)
             total, length = total + 1, length + len(w)
@@ -238,7 +238,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     the threshold for are retrieved, and kept if the passage holds `overlap` of the question's and
     of the answer's words in order. One row for each document and item, with its best passage.
     Null and empty texts and items without words never match; items with equal ids and texts are
-    one; repeated documents give their rows each. No items, or no leaks, give no rows.
+    one; items without id are items like any other and give rows with a null item_id; repeated documents give their rows each. No items, or no leaks, give no rows.
     """
     out = None
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
