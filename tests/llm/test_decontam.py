@@ -44,26 +44,32 @@ def setup(seed=1, n_items=30, n_docs=150):
 
 
 def brute(docs, items):
-    items = sorted({(i, t) for i, t in items if i is not None and words_of(t)})
+    """Every run of twice the item's length, at every word of every text."""
+    items = sorted({(i, t) for i, t in items if words_of(t)}, key=str)
     w = [words_of(t) for _, t in items]
     if not w:
-        return set()
+        return {}
     mean, df = sum(map(len, w)) / len(w), {}
     for x in w:
         for t in set(x):
             df[t] = df.get(t, 0) + 1
     idf = {t: math.log(1 + (len(w) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     gain = [{t: idf[t] * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in x} for x in w]
-    stride, out = max(32, max(map(len, w))), set()
+    out = {}
     for d, text, *_ in docs:
         tokens = words_of(text)
-        for lo in range(0, max(1, (-(-len(tokens) // stride) - 1) * stride), stride):
-            part = tokens[lo : lo + 2 * stride]
-            for k, (i, t) in enumerate(items):
-                score = sum(x for word, x in gain[k].items() if word in part) / sum(gain[k].values())
-                q = split_item(t)
-                if score >= 0.5 - 1e-9 and lcs(w[k][:q], part) >= 0.8 * q and lcs(w[k][q:], part) >= 0.8 * (len(w[k]) - q):
-                    out.add((d, i))
+        for k, (i, t) in enumerate(items):
+            whole, q = sum(gain[k].values()), split_item(t)
+            if sum(gain[k][x] for x in set(tokens) & set(gain[k])) < 0.5 * whole - 1e-9:
+                continue
+            for lo in range(len(tokens)):
+                part = tokens[lo : lo + 2 * len(w[k])]
+                score = sum(gain[k][x] for x in set(part) & set(gain[k])) / whole
+                if score < 0.5 - 1e-9:
+                    continue
+                in_q, in_a = lcs(w[k][:q], part), lcs(w[k][q:], part)
+                if in_q >= 0.8 * q - 1e-9 and in_a >= 0.8 * (len(w[k]) - q) - 1e-9:
+                    out[d, i] = max(out.get((d, i), 0), score)
     return out
 
 
@@ -74,9 +80,12 @@ def test_against_brute_force(spark):
     d, b = spark.createDataFrame(docs + odd, DOCS), spark.createDataFrame(items + extra, ITEMS)
     rows = contaminated(d, b).collect()
     want = brute(docs + odd, items + extra)
-    assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 30
+    assert {(r.doc_id, r.item_id) for r in rows} == set(want) and len(want) > 30
     assert len(rows) == len(want) + sum(i == 902 for i, _ in want)
-    assert all(r.score >= 0.5 - 1e-9 and min(r.question_share, r.answer_share) >= 0.8 for r in rows)
+    assert all(abs(r.score - want[r.doc_id, r.item_id]) < 1e-9 and min(r.question_share, r.answer_share) >= 0.8 for r in rows)
+    text = {i: words_of(t) for i, t, *_ in docs + odd}
+    for r in rows:
+        assert text[r.doc_id][r.first_word] in words_of(dict(items + extra)[r.item_id])
     kept = clean(d, b)
     assert kept.columns == d.columns
     dirty = {i for i, _ in want}
@@ -88,15 +97,29 @@ def test_several_indexes_give_the_same(spark, monkeypatch):
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     want = brute(docs, items)
     monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
-    parts = indexes(b)
-    assert len(parts) > 2
-    stride = max(p.size for p in parts)
-    monkeypatch.setattr(decontam, "MIN_STRIDE", stride)
-    assert {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()} == want
+    assert len(list(indexes(b))) > 2
+    assert {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()} == set(want)
     assert contaminated(d.limit(0), b).collect() == [] and contaminated(d, b.limit(0)).collect() == []
     assert clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_other_items_change_no_hits(spark, monkeypatch):
+    short = "where stands the amber Velden clock tower"
+    rng = random.Random(6)
+    far = " ".join(w + " " + " ".join(f"f{rng.randrange(5000)}" for _ in range(60)) for w in short.split())
+    near = " ".join(w + " filler" for w in short.split())
+    docs = [(1, far, None, None), (2, near, None, None), (3, "before it " + short + " after it", None, None)]
+    items = [(1, short), *((i, " ".join(f"g{rng.randrange(9000)}" for _ in range(12))) for i in range(2, 30))]
+    long_item = (99, " ".join(f"h{rng.randrange(9000)}" for _ in range(400)))
+    found = lambda items: sorted((r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect())
+    assert found(items) == [(2, 1), (3, 1)] == sorted(brute(docs, items))
+    assert found(items + [long_item]) == [(2, 1), (3, 1)]
+    docs.append((4, "x " * 900 + long_item[1] + " y" * 900, None, None))
+    assert found(items + [long_item]) == [(2, 1), (3, 1), (4, 99)]
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 900)
+    assert found(items + [long_item]) == [(2, 1), (3, 1), (4, 99)]
+
+
 def test_wand_equals_full_scores(monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", 3)
     rng = random.Random(8)
