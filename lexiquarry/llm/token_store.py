@@ -20,13 +20,18 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import store
 from .common import cut, scratch
 
 MAGIC = b"LQDAC\x00\x00\x01"
+#: Bytes of text after which a file is closed: what a task holds as codes.
 FILE_TEXT_BYTES = 32 << 20
+#: A range of ids has about so many bytes of text, and there are MOST_RANGES at most.
+RANGE_TEXT_BYTES, MOST_RANGES = 32 << 20, 20_000
+STRETCH = 1 << 20
 #: Pieces of text whose ids a worker keeps.
 MEMO = 800_000
 
@@ -143,14 +148,58 @@ class Reader:
         return self.range(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+class Places:
+    """A token file read by places: no more than the bytes of the tokens asked for, whatever its size."""
+
+    def __init__(self, uri: str):
+        system, path = store.at(uri)
+        self.file = system.open_input_file(path)
+        if self._at(0, 8) != MAGIC:
+            raise ValueError("not a token file")
+        self.tokens, self.documents, levels = self._numbers(8, 3)
+        self.starts = 32 + 8 * self.documents + -(-self.documents // 8) * 8
+        at = self.starts + 8 * (self.documents + 1)
+        self.levels = []
+        for _ in range(levels):
+            n = self._numbers(at, 1)[0]
+            chunks, bits = at + 8, at + 8 + -(-n // 8) * 8
+            ranks = bits + -(-n // 512) * 64
+            self.levels.append((chunks, bits, ranks))
+            at = ranks + 8 * (-(-n // 512) + 1)
+
+    def _at(self, offset: int, size: int) -> bytes:
+        return self.file.read_at(size, offset)
+
+    def _numbers(self, offset: int, n: int) -> list[int]:
+        return np.frombuffer(self._at(offset, 8 * n), np.uint64).tolist()
+
+    def start(self, k: int) -> int:
+        """Where the k-th document of the file starts."""
+        return self._numbers(self.starts + 8 * k, 1)[0]
+
+    def token(self, i: int) -> int:
+        """One byte, one block of the bitmap and one rank a level."""
+        if not 0 <= i < self.tokens:
+            raise IndexError(i)
+        out = 0
+        for level, (chunks, bits, ranks) in enumerate(self.levels):
+            out |= self._at(chunks + i, 1)[0] << 8 * level
+            block = int.from_bytes(self._at(bits + (i >> 9) * 64, 64), "little")
+            if not block >> (i & 511) & 1:
+                break
+            i = self._numbers(ranks + (i >> 9) * 8, 1)[0] + (block & (1 << (i & 511)) - 1).bit_count()
+        return out
+
+    def close(self) -> None:
+        self.file.close()
+
+
 @cache
-def _tokenizer(path: str, literal: bool):
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = literal
-    return t
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -160,13 +209,12 @@ class Encoder:
     pre-token of a byte-level tokenizer spans such a place, so the pieces' ids are the text's.
     New pieces are encoded as one text of their own, in which each token that starts with a space
     starts a piece. A text with other white space beside a space is encoded whole, as is one that
-    holds an added token's content, which the library finds before it cuts pre-tokens. With literal,
-    special tokens' contents are text like any other; without, the ids are those of a plain call.
+    holds an added token's content, which the library finds before it cuts pre-tokens.
     """
 
-    def __init__(self, path: str, end: int, literal: bool = True):
-        self.t = _tokenizer(path, literal)
-        self.added = [x.content for x in self.t.get_added_tokens_decoder().values() if not (literal and x.special)]
+    def __init__(self, path: str, end: int):
+        self.t = _tokenizer(path)
+        self.added = [x.content for x in self.t.get_added_tokens_decoder().values()]
         vocab = self.t.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for w, i in vocab.items() if w[0] == "\u0120"]] = True
@@ -274,40 +322,40 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str, end: int, literal: bool) -> Encoder:
+def _encoder(path: str, end: int) -> Encoder:
     """One for each worker process: later tasks find what earlier ones have learned."""
-    return Encoder(path, end, literal)
+    return Encoder(path, end)
 
 
-def _write(folder: str, tokenizer: str, end: int, literal: bool):
-    schema = pa.schema([("part", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+FILES_DDL = "part int, seq int, uri string, docs long, tokens long"
 
+
+def _write(folder: str, tokenizer: str, end: int, file_bytes: int):
     def run(batches):
-        encoder, writer, part, done = _encoder(tokenizer, end, literal), Writer(), None, []
+        encoder, writer, part, held, done = _encoder(tokenizer, end), Writer(), -1, 0, []
 
         def close():
-            uri = f"{folder}/tokens-{part:07d}.dac"
+            uri = f"{folder}/tokens-{part:06d}-{len(done):06d}.dac"
             store.put(uri, writer.parts())
-            done.append((part, uri, len(writer.ids), writer.tokens))
+            done.append((part, len(done), uri, len(writer.ids), writer.tokens))
 
         for batch in batches:
-            parts, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lo = 0
+            ids, lo = batch.column(1).to_pylist(), 0
             while lo < len(ids):
-                if parts[lo] != part:
-                    if part is not None:
-                        close()
-                    writer, part = Writer(), parts[lo]
-                texts, size, hi = [], 0, lo
-                while hi < len(ids) and parts[hi] == part and size < 4 << 20:
+                part, texts, size, hi = batch.column(0)[lo].as_py(), [], 0, lo
+                while hi < len(ids) and size < min(4 << 20, file_bytes):
                     texts.append(batch.column(2)[hi].as_py() or "")
                     size += len(texts[-1])
                     hi += 1
                 writer.add(ids[lo:hi], *encoder.encode(texts))
-                lo = hi
-        if part is not None:
+                lo, held = hi, held + size
+                if held >= file_bytes:
+                    close()
+                    writer, held = Writer(), 0
+        if writer.ids:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), schema)] if done else [pa.array([], t.type) for t in schema], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), FILES)] if done else [pa.array([], t.type) for t in FILES], schema=FILES)
 
     return run
 
@@ -326,43 +374,74 @@ def _read(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(r.ids[lo:hi], pa.int64()), pa.array(r.starts[lo:hi] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_TEXT_BYTES, literal: bool = True) -> DataFrame:
-    """Encodes every whole text and writes files in ascending id order; gives (part, uri, docs, tokens).
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
+    """Encodes every whole text and writes files in ascending id order; gives (part, seq, uri, docs, tokens).
 
-    Ids are dealt by quantiles, taken from the id column, into one file for about file_bytes of
-    text each; a file holds its documents in id order (null ids first, rows of one id by text). Null
-    and empty texts have the end id alone. literal: see Encoder. A file is written under another name and renamed, so
-    tasks can run again.
+    Rows go to ranges of ids (null ids first, rows of one id by a hash of the text, equal rows by
+    where they came from, so that a repeated id is no hot range). A range's task writes its rows in
+    that order and closes a file after file_bytes of text, so it holds one file's codes however
+    large the range. Files in order of (part, seq) hold all rows in order. Null and empty texts have the
+    end id alone. A file is written under another name and renamed, so tasks can run again.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size, n = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("id")).first()
-    parts = max(1, -(-int(size) // file_bytes))
-    cuts: list[int] = []
-    if parts > 1 and n:
-        cuts = sorted(set(base.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]))
-    if not cuts:
-        part = F.lit(0)
-    else:
-        step = max(1, round(len(cuts) ** 0.5))
-        arr = lambda xs: F.array(*[F.lit(x) for x in xs])
-        coarse = F.size(F.filter(arr(cuts[step::step]), lambda b: b < F.col("id"))) if len(cuts) > step else F.lit(0)
-        blocks = F.array(*[arr(cuts[i : i + step]) for i in range(0, len(cuts), step)])
-        part = F.when(F.col("id").isNull(), 0).otherwise(coarse * step + F.size(F.filter(F.element_at(blocks, coarse + 1), lambda b: b < F.col("id"))))
-    dealt = base.select(part.cast("int").alias("part"), "id", "text").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "id", "text")
-    return cut(dealt.mapInArrow(_write(folder, tokenizer, end, literal), "part int, uri string, docs long, tokens long"), "token-files")
+    size = int(base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    ranges = max(1, min(MOST_RANGES, -(-size // min(file_bytes, RANGE_TEXT_BYTES))))
+    keyed = base.withColumn("h", F.xxhash64("text")).withColumn("origin", F.spark_partition_id())
+    dealt = keyed.repartitionByRange(ranges, "id", "h", "origin").sortWithinPartitions("id", "h", "origin")
+    placed = dealt.select(F.spark_partition_id().alias("part"), "id", "text")
+    return cut(placed.mapInArrow(_write(folder, tokenizer, end, file_bytes), FILES_DDL), "token-files")
+
+
+def placed_files(written: DataFrame) -> DataFrame:
+    """Files with base, the number of tokens in all files before: one sum a range passes through the driver
+    (MOST_RANGES at most), the files of a range are summed where they are."""
+    sums, base = [], 0
+    for r in written.groupBy("part").agg(F.sum("tokens").alias("tokens")).orderBy("part").collect():
+        sums.append((r.part, base))
+        base += r.tokens
+    first = F.broadcast(written.sparkSession.createDataFrame(sums, "part int, _first long"))
+    before = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    inside = written.withColumn("_in", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    return inside.join(first, "part").select("part", "seq", "uri", "docs", "tokens", (F.col("_first") + F.col("_in")).alias("base"))
 
 
 def read_tokens(written: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
-    files, base = [], 0
-    for r in sorted(written.collect(), key=lambda r: r.part):  # one row a file
-        files.append((r.uri, base))
-        base += r.tokens
-    spark = written.sparkSession
-    listed = spark.createDataFrame(files, "uri string, base long").repartition(max(1, len(files)))
-    return listed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(written.count(), MOST_RANGES))
+    files = placed_files(written).select("uri", "base", F.pmod(F.hash("part", "seq"), F.lit(tasks)).alias("task"))
+    return files.repartitionById(tasks, F.col("task")).select("uri", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
 
+def tokens_at(written: DataFrame, places: DataFrame, col: str = "place") -> DataFrame:
+    """(place, token): any tokens by their place in the whole store, by bytes of their files alone.
 
-def token_store(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", literal: bool = True) -> DataFrame:
-    out = read_tokens(write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer, end, id_col, text_col, literal=literal))
+    Places that are null, negative or past the end give no rows; repeated ones theirs each.
+    """
+    # places and files meet on stretches of STRETCH tokens, so that the join has an equal key
+    files = placed_files(written).where("tokens > 0").select("uri", "base", (F.col("base") + F.col("tokens")).alias("end"))
+    files = files.withColumn("s", F.explode(F.sequence(F.floor(F.col("base") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))))
+    asked = places.select(F.col(col).cast("long").alias("place")).withColumn("s", F.floor(F.col("place") / STRETCH))
+    met = asked.join(files, "s").where((F.col("place") >= F.col("base")) & (F.col("place") < F.col("end")))
+    schema = pa.schema([("place", pa.int64()), ("token", pa.int64())])
+
+    def run(batches):
+        uri, file = None, None
+        for batch in batches:
+            out = []
+            for u, b, p in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if u != uri:
+                    if file:
+                        file.close()
+                    uri, file = u, Places(u)
+                out.append(file.token(p - b))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.int64())], schema=schema)
+        if file:
+            file.close()
+
+    return met.select("uri", "base", "place").sortWithinPartitions("uri", "place").mapInArrow(run, "place long, token long")
+
+
+def token_store(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes every text's ids and reads the documents' places, lengths and checksums back; see write_tokens."""
+    out = read_tokens(write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer, end, id_col, text_col))
     return out.withColumnRenamed("doc_id", id_col)

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from lexiquarry.llm import store
 from lexiquarry.llm.common import scratch
-from lexiquarry.llm.token_store import Encoder, Reader, Writer, token_store, write_tokens
+from lexiquarry.llm.token_store import Encoder, Places, Reader, Writer, read_tokens, token_store, tokens_at, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -18,7 +18,6 @@ TEXTS = [
 
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids + [0]
 
 
@@ -62,9 +61,36 @@ def test_store(spark):
     got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store(df, PATH).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert token_store(df.limit(0), PATH).collect() == []
-    files = write_tokens(df, scratch(spark, "t"), PATH, file_bytes=400).orderBy("part").collect()
+    written = write_tokens(df, scratch(spark, "t"), PATH, file_bytes=400)
+    files = written.orderBy("part", "seq").collect()
     assert len(files) > 3 and sum(f.docs for f in files) == len(rows)
     readers = [Reader(store.get(f.uri)) for f in files]
     ids = [i for r in readers for i in r.ids]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     assert [readers[1].document(k).tolist() for k in range(readers[1].documents)] == [ref(dict((a, b) for a, b, _ in rows)[i]) for i in readers[1].ids]
+    assert sorted(map(str, map(tuple, read_tokens(written).collect()))) == sorted(map(str, got))
+    whole = [int(t) for r in readers for k in range(r.documents) for t in r.document(k)]
+    spots = [0, 1, 7, len(whole) - 1, len(whole), -1, None, 7, *range(0, len(whole), 97)]
+    found = tokens_at(written, spark.createDataFrame([(i, "x") for i in spots], "place long, token string")).collect()
+    assert sorted(map(tuple, found)) == sorted((i, whole[i]) for i in spots if i is not None and 0 <= i < len(whole))
+
+
+def test_one_token_is_read_by_its_bytes(tmp_path):
+    tokens = (2 ** np.random.default_rng(2).uniform(0, 31, 3000)).astype(np.uint32)
+    w = Writer()
+    w.add([1, None, 3], np.array([1000, 0, 2000]), tokens)
+    uri = f"file://{tmp_path}/x.dac"
+    store.put(uri, w.parts())
+    p = Places(uri)
+    assert [p.start(k) for k in range(4)] == [0, 1000, 1000, 3000]
+    assert [p.token(i) for i in range(0, 3000, 7)] == tokens[::7].tolist()
+
+
+def test_ranges_split_null_ids_and_repeated_rows(spark):
+    rows = [(None, "text %d" % (i % 5)) for i in range(300)] + [(7, "the same")] * 300 + [(8, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written = write_tokens(df, scratch(spark, "t"), PATH, file_bytes=300)
+    files = written.orderBy("part", "seq").collect()
+    assert max(f.docs for f in files) < 150 and len({f.part for f in files}) > 4 and sum(f.docs for f in files) == len(rows)
+    ids = [i for f in files for i in Reader(store.get(f.uri)).ids]
+    assert ids == [None] * 300 + [7] * 300 + [8]

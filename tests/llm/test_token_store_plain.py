@@ -28,7 +28,7 @@ def test_special_tokens_as_in_a_plain_call(spark, tmp_path):
 
 
 def test_encoder_mixes_special_and_other_texts():
-    rng, enc, t = random.Random(5), Encoder(PATH, 0, literal=False), Tokenizer.from_file(PATH)
+    rng, enc, t = random.Random(5), Encoder(PATH, 0), Tokenizer.from_file(PATH)
     texts = ["".join(rng.choice([" ", "ab", "é", "\n", "<|endoftext|>", "<|endoftext", "|>"]) for _ in range(rng.randrange(14))) for _ in range(500)]
     for lo in range(0, len(texts), 41):
         size, tokens = enc.encode(texts[lo : lo + 41])
