@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.soft import reached_threshold
-from .operators.tokenizers import WORDS, get_tokenizer
+from .operators.tokenizers import TOKENIZERS, WORDS
 from .plans.index import Index, PhraseTooLong, UnknownWord
 from .sources.text import text_files
-from .sources.vectors import get_embedding
+from .sources.vectors import EMBEDDINGS
 
 RED, BLUE, OFF = "\x1b[31m", "\x1b[34m", "\x1b[0m"
 
@@ -31,12 +31,12 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--vectors", required=True)
     index.add_argument("--backend", default="plain")
     index.add_argument("--tokenizer", default="words")
-    index.add_argument("--mem_size_ex", type=int, default=100)
     index.add_argument("--max_vocab", type=int, default=2**19)
     search = sub.add_parser("search")
     search.add_argument("pattern")
     search.add_argument("--num_candidates", type=int, default=20)
     search.add_argument("--min_similarity", type=float, default=0.45)
+    search.add_argument("--max_runtime", type=float, default=None)
     exact = sub.add_parser("exact")
     exact.add_argument("pattern")
     exact.add_argument("--display", type=int, default=10)
@@ -63,14 +63,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     began = time.perf_counter()
     if args.command == "index":
-        tokenizer = get_tokenizer(args.tokenizer) if args.tokenizer else WORDS
-        built = Index.build(spark, corpus_of(spark, args.input), get_embedding(args.backend)(spark, args.vectors), args.index, tokenizer, args.max_vocab, args.mem_size_ex)
+        tokenizer = TOKENIZERS[args.tokenizer] if args.tokenizer else WORDS
+        built = Index.build(spark, corpus_of(spark, args.input), EMBEDDINGS[args.backend](spark, args.vectors), args.index, tokenizer, args.max_vocab)
         print({k: round(v, 2) for k, v in built.timers.report().items()})
         return 0
     index = Index.load(spark, args.index)
     try:
         if args.command == "search":
-            rows = index.search(args.pattern, args.num_candidates, args.min_similarity).collect()
+            rows = index.search(args.pattern, args.num_candidates, args.min_similarity, args.max_runtime).collect()
             print("\n".join(result_table(rows)))
             tail = "" if len(rows) >= args.num_candidates else f" with similarity >={int(100 * reached_threshold([r.score for r in rows], args.num_candidates, args.min_similarity) + 0.5)}%"
             print(f"{BLUE}[Output {len(rows)} hits{tail}]{OFF}")

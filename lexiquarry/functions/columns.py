@@ -59,12 +59,12 @@ def edit_multiplier(norm: Column | str, coefficient: Column | float) -> Column:
 
 
 def trio_index(v0: Column | str, v1: Column | str, v2: Column | str, t: int) -> Column:
-    """Dense number of a triple with v0 + v1 + v2 < t: one of t (t + 1) (t + 2) / 6."""
+    """Dense number of a triple with v0 + v1 + v2 < t: one of t (t + 1) (t + 2) / 6, in whole numbers throughout."""
     a, b, c = (col(x).cast("long") for x in (v0, v1, v2))
-    choose3 = lambda n: n * (n - 1) * (n - 2) / 6
+    div = lambda x, y: F.call_function("div", x, F.lit(y).cast("long"))
     rest = F.lit(t).cast("long") + 2 - a
-    below = F.lit(int(choose3(t + 2))) - (rest * (rest - 1) * (rest - 2) / 6).cast("long")
-    return (below + b * (F.lit(t) - a) - (b * (b - 1) / 2).cast("long") + c).cast("long")
+    below = F.lit(t * (t + 1) * (t + 2) // 6).cast("long") - div(rest * (rest - 1) * (rest - 2), 6)
+    return below + b * (F.lit(t).cast("long") - a) - div(b * (b - 1), 2) + c
 
 
 def gram_key(*tokens: Column | str) -> Column:

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..registry import setup
+from ..plugins import Plugins
 
-register_tokenizer, get_tokenizer = setup("tokenizer")
+TOKENIZERS = Plugins("tokenizer")
 
 
 @dataclass(frozen=True)
@@ -48,15 +48,15 @@ MOSES_SPLIT = RegexTokenizer(rf"\p{{N}}+(?:[.,:]\p{{N}}+)*|\p{{L}}[\p{{L}}\p{{N}
 CHARACTERS = RegexTokenizer(r"[A-Za-z0-9]+|\S", r"\s*", lower=False)
 
 for _name, _t in (("words", WORDS), ("letters", LETTERS), ("spaces", SPACES), ("moses", MOSES), ("moses_split_hyphen", MOSES_SPLIT), ("characters", CHARACTERS)):
-    register_tokenizer(_name)(_t)
+    TOKENIZERS.add(_name, item=_t)
 
 
-@register_tokenizer("gensim")
+@TOKENIZERS.add("gensim")
 def gensim_tokenizer(split_hyphen: bool = False) -> RegexTokenizer:
     return MOSES_SPLIT if split_hyphen else MOSES
 
 
-@register_tokenizer("fasttext")
+@TOKENIZERS.add("fasttext")
 def fasttext_tokenizer(model: str) -> RegexTokenizer:
     """By the language in the model's name: fasttext-<lang>-vectors."""
     import re
@@ -67,12 +67,12 @@ def fasttext_tokenizer(model: str) -> RegexTokenizer:
     return for_language(m[1])
 
 
-@register_tokenizer("llama")
+@TOKENIZERS.add("llama")
 def llama_tokenizer() -> RegexTokenizer:
     return CHARACTERS
 
 
-@register_tokenizer("transformers")
+@TOKENIZERS.add("transformers")
 def transformers_tokenizer() -> RegexTokenizer:
     return CHARACTERS
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass, field
 from math import exp
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,37 @@ from ..operators import tokens as TK
 from ..operators import vectors as V
 from ..operators.tokenizers import WORDS, RegexTokenizer
 from ..timing import Stopwatches
-from .sizing import table_sizes
+
+
+#: Bytes of vectors that the driver may hold; a larger vocabulary is scanned for each search.
+LEXICON_BYTES = 512 << 20
+#: A search goes down the levels by steps that read at most STEP_ROWS rows, or STEP times those of the step before.
+STEP_ROWS, STEP = 2_000_000, 4
+
+
+class Lexicon:
+    """The vocabulary in the driver's memory: names, counts, norms and unit vectors."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table.column("tok").to_numpy().astype(np.int64)
+        self.names = table.column("token").to_pylist()
+        self.freq = table.column("freq").to_numpy().astype(np.int64)
+        self.norm = table.column("norm").to_numpy()
+        flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.vectors = flat.reshape(len(self.ids), -1) if len(self.ids) else np.zeros((0, 1))
+        self.place = {w: i for i, w in enumerate(self.names)}
+        self.name = dict(zip(self.ids.tolist(), self.names))
+
+    def row(self, word: str) -> Row | None:
+        i = self.place.get(word)
+        return None if i is None else Row(tok=int(self.ids[i]), token=word, norm=float(self.norm[i]), embedding=self.vectors[i].tolist())
+
+    def near(self, vectors: np.ndarray, coef: float, cut: float, floor: float) -> list[tuple[int, list[float], float, int]]:
+        """(tok, similarities, edit multiplier, frequency) of words of which one reaches floor."""
+        sims = np.maximum(self.vectors @ vectors.T, 0.0)
+        mult = np.where(self.norm <= cut, np.exp(-self.norm / coef), 0.0) if coef > 0 else np.zeros(len(self.ids))
+        at = np.flatnonzero((sims >= floor).any(axis=1) | (mult >= floor))
+        return list(zip(self.ids[at].tolist(), sims[at].tolist(), mult[at].tolist(), self.freq[at].tolist()))
 
 
 class PhraseTooLong(ValueError):
@@ -47,7 +80,7 @@ class Index:
     tokenizer: RegexTokenizer = WORDS
     timers: Stopwatches = field(default_factory=Stopwatches)
     _names: dict[str, Row | None] = field(default_factory=dict)
-    _lexicon: DataFrame | None = None
+    _held: Lexicon | None = None
     _low: tuple[list[float], float] | None = None
 
     @classmethod
@@ -66,7 +99,7 @@ class Index:
         return cls(docs, vocab, stream, wins, G.distinct_grams(wins), vectors.withColumn("embedding", l2_normalize("embedding")), V.editable(norms), cap, tokenizer)
 
     @classmethod
-    def build(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame, path: str, tokenizer: RegexTokenizer = WORDS, cap: int | None = None, memory_mb: int = 100) -> Index:
+    def build(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame, path: str, tokenizer: RegexTokenizer = WORDS, cap: int | None = None) -> Index:
         """Writes the tables under path, then opens them.
 
         windows (the suffix order) and grams are range-partitioned and sorted by their ids, so that
@@ -96,11 +129,7 @@ class Index:
             freq = grams.groupBy(F.col("t0").alias("tok")).agg(F.sum("cnt").alias("freq"))
             put(V.editable(V.whitened_norms(raw, freq)), "norms")
         total = int(grams.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0])
-        sizes = table_sizes(total, memory_mb)
-        meta = {"cap": cap, "tokens": total, "tokenizer": [tokenizer.token, tokenizer.gap, tokenizer.lower], "pair_below": min(sizes.pair_below, cap - 1), "trio_below": sizes.trio_below, "every": sizes.every}
-        with timers["pairs"]:
-            put(G.bigram_set(grams.select(*G.T), meta["pair_below"]), "bigrams")
-            put(G.trigram_set(grams.select(*G.T), meta["trio_below"]), "trigrams")
+        meta = {"cap": cap, "tokens": total, "tokenizer": [tokenizer.token, tokenizer.gap, tokenizer.lower]}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         out = cls.load(spark, path)
         out.timers = timers
@@ -119,30 +148,34 @@ class Index:
 
     @property
     def lexicon(self) -> DataFrame:
-        """(tok, token, norm, embedding) of the words that occur: what a search asks of the vocabulary."""
-        if self._lexicon is None:
-            both = self.vectors.select(F.col("vec_id").cast("int").alias("tok"), "embedding").join(self.norms.select(F.col("tok").cast("int").alias("tok"), "norm"), "tok")
-            self._lexicon = self.vocab.select("tok", "token").join(both, "tok").select("tok", "token", "norm", "embedding")
-        return self._lexicon
+        """(tok, token, freq, norm, embedding) of the words that occur: what a search asks of the vocabulary."""
+        both = self.vectors.select(F.col("vec_id").cast("int").alias("tok"), "embedding").join(self.norms.select(F.col("tok").cast("int").alias("tok"), "norm"), "tok")
+        return self.vocab.select("tok", "token", "freq").join(both, "tok").select("tok", "token", "freq", "norm", "embedding")
 
     def cached(self) -> Index:
-        """Keeps the tables that every search reads."""
-        self._lexicon = self.lexicon.persist()
-        for name in ("vocab", "grams", "norms"):
-            setattr(self, name, getattr(self, name).persist())
+        """Takes the vocabulary to the driver, if its vectors fit LEXICON_BYTES. The corpus's tables stay on disk,
+        where they are sorted by the ids that a search asks for."""
+        size = self.vectors.agg(F.count("*") * F.coalesce(F.max(F.size("embedding")), F.lit(0)) * 8).first()[0]
+        if size <= LEXICON_BYTES:
+            self._held = Lexicon(self.lexicon.toArrow())
         return self
 
     def split(self, phrase: str) -> list[str]:
-        """The phrase's tokens, by the expression that split the corpus (a local plan, no job)."""
-        one = self.docs.sparkSession.sql("SELECT :p AS p", args={"p": phrase})
-        return list(one.select(self.tokenizer.tokens(F.col("p")).alias("w")).first()["w"])
+        return self.split_all([phrase])[0]
+
+    def split_all(self, phrases: list[str]) -> list[list[str]]:
+        """The phrases' tokens, by the expression that split the corpus (a local plan)."""
+        given = self.docs.sparkSession.createDataFrame(pa.table({"p": pa.array(phrases, pa.string())}))
+        return [list(r.w) for r in given.select(self.tokenizer.tokens(F.col("p")).alias("w")).collect()]
 
     def known(self, words: list[str]) -> list[Row]:
         """(tok, token, norm, embedding) of 1 to 12 known words; PhraseTooLong or UnknownWord otherwise."""
         if len(words) > GRAM:
             raise PhraseTooLong(f"a phrase has {GRAM} tokens at most; this one has {len(words)}")
         new = [w for w in dict.fromkeys(words) if w not in self._names]
-        if new:
+        if new and self._held:
+            self._names |= {w: self._held.row(w) for w in new}
+        elif new:
             found = {r.token: r for r in self.lexicon.where(F.col("token").isin(new)).collect()}
             self._names |= {w: found.get(w) for w in new}
         for w in words:
@@ -161,51 +194,101 @@ class Index:
         ids = self.ids(words)
         return K.kwic(self.docs, self.windows, self.stream, ids, words[-1], display, padding, self.tokenizer)
 
-    def costs(self, words: list[Row], min_similarity: float) -> tuple[list[dict[int, float]], dict[int, float], list[float]]:
-        """(similar words of each position, insertable words, deletion multipliers), by one pass over the
-        vocabulary, whose cap bounds them."""
+    def pattern(self, words: list[Row], min_similarity: float) -> tuple[soft.Pattern, dict[int, int]]:
+        """What a search of the words admits down to the level, and how often its words occur, by one pass over the
+        vocabulary, whose cap bounds both."""
         floor = max(soft.LEAST_SIMILARITY, min_similarity)
         if self._low is None:
             self._low = V.lowest_norms(self.norms, self.cap)
-        coef = V.coefficient_of(self._low[0], len(words))
-        vectors = [F.array(*[F.lit(float(x)) for x in r.embedding]) for r in words]
-        sims = F.array(*[similarity("embedding", v) for v in vectors])
-        mult = edit_multiplier("norm", coef) if coef > 0 else F.lit(0.0)
-        mult = F.when(F.col("norm") <= self._low[1], mult).otherwise(0.0)
-        near = self.lexicon.select("tok", sims.alias("sims"), mult.alias("mult")).where(F.exists("sims", lambda x: x >= floor) | (F.col("mult") >= floor))
+        low, cut = self._low
+        coef = V.coefficient_of(low, len(words))
+        if self._held:
+            near = self._held.near(np.array([r.embedding for r in words]), coef, cut, floor)
+        else:
+            vectors = [F.array(*[F.lit(float(x)) for x in r.embedding]) for r in words]
+            sims = F.array(*[similarity("embedding", v) for v in vectors])
+            mult = edit_multiplier("norm", coef) if coef > 0 else F.lit(0.0)
+            mult = F.when(F.col("norm") <= cut, mult).otherwise(0.0)
+            near = self.lexicon.select("tok", sims.alias("sims"), mult.alias("mult"), "freq").where(F.exists("sims", lambda x: x >= floor) | (F.col("mult") >= floor)).collect()
         match: list[dict[int, float]] = [{} for _ in words]
         insert: dict[int, float] = {}
-        for r in near.collect():
-            for i, s in enumerate(r.sims):
+        freq: dict[int, int] = {}
+        for tok, sims, mult, n in near:
+            freq[tok] = n
+            for i, s in enumerate(sims):
                 if s >= floor:
-                    match[i][r.tok] = float(s)
-            if r.mult >= floor:
-                insert[r.tok] = float(r.mult)
-        return match, insert, [exp(-r.norm / coef) if coef > 0 else 0.0 for r in words]
-
-    def search(self, phrase: str, k: int | None = 20, min_similarity: float = 0.45) -> DataFrame:
-        """(rank, score, match_count, phrase): what occurs and is close to the phrase, best first."""
-        return soft.ranked(soft.render(soft.best(self._found(self.known(self.split(phrase)), min_similarity), k), self.vocab))
-
-    def _found(self, words: list[Row], min_similarity: float) -> DataFrame:
-        threshold = soft.effective_threshold(min_similarity)
-        sims, insert, delete = self.costs(words, min_similarity)
-        match = sorted({t for s in sims for t in s})
-        allowed = sorted({*match, *insert})
-        longest = min(GRAM, (1 + soft.MAX_INSERT) * len(words) - soft.MAX_INSERT)
-        return soft.scored(soft.candidates(self.grams, match, allowed, longest), sims, insert, delete, threshold)
-
-    def search_batch(self, phrases: list[tuple[int, str]], k: int = 20, min_similarity: float = 0.45) -> DataFrame:
-        """(query_id, rank, score, match_count, phrase) of many phrases, as one plan; phrases with unknown
-        words or too many tokens give no rows."""
-        out = None
-        for number, phrase in phrases:
+                    match[i][tok] = float(s)
+            if mult >= floor:
+                insert[tok] = float(mult)
+        delete = [exp(-r.norm / coef) if coef > 0 else 0.0 for r in words]
+        return soft.Pattern(match, insert, delete, soft.effective_threshold(min_similarity)), freq
+
+    def search(self, phrase: str, k: int | None = 20, min_similarity: float = 0.45, max_runtime: float | None = None) -> DataFrame:
+        """(rank, score, match_count, phrase): what occurs and is close to the phrase, best first.
+
+        Levels are tried from the highest, until k results are there, the level of min_similarity is done, or
+        max_runtime seconds have passed; all results over a level are found before the next. Without k
+        all results are given, and neither found nor ranked in one place.
+        """
+        words = self.known(self.split(phrase))
+        if k is None:
+            return self._all(self.pattern(words, min_similarity)[0])
+        rows = self._descend({0: self.pattern(words, min_similarity)}, k, max_runtime)[0]
+        return self.docs.sparkSession.createDataFrame(_table([(0, *r) for r in rows]).drop_columns(["query_id"]))
+
+    def search_batch(self, phrases: list[tuple[int, str]], k: int = 20, min_similarity: float = 0.45, max_runtime: float | None = None) -> DataFrame:
+        """(query_id, rank, score, match_count, phrase) of many phrases: each pass over the grams serves all
+        that have not got k results yet. Phrases with unknown words or too many tokens give no rows."""
+        patterns = {}
+        for number, split in zip([n for n, _ in phrases], self.split_all([p for _, p in phrases])):
             try:
-                one = self.search(phrase, k, min_similarity)
+                patterns[number] = self.pattern(self.known(split), min_similarity)
             except (UnknownWord, PhraseTooLong):
                 continue
-            one = one.select(F.lit(number).cast("long").alias("query_id"), "rank", "score", "match_count", "phrase")
-            out = one if out is None else out.unionByName(one)
-        if out is None:
-            return self.docs.sparkSession.createDataFrame([], "query_id long, rank int, score double, match_count long, phrase string")
-        return out
+        found = self._descend(patterns, k, max_runtime)
+        return self.docs.sparkSession.createDataFrame(_table([(q, *r) for q, rows in sorted(found.items()) for r in rows]))
+
+    def _descend(self, patterns: dict[int, tuple[soft.Pattern, dict[int, int]]], k: int, max_runtime: float | None) -> dict[int, list[tuple]]:
+        """(rank, score, match_count, phrase) of each pattern's k best.
+
+        A step takes the lowest level that reads at most STEP_ROWS rows, or STEP times the last step's, counted by its first
+        words; a result's score doesn't depend on the level at which it is found, so steps never change results.
+        """
+        until = time.perf_counter() + max_runtime if max_runtime is not None else float("inf")
+        reads: dict[int, int] = {}
+        level = dict.fromkeys(patterns, 1.0)
+        best: dict[int, list] = {q: [] for q in patterns}
+        pending = set(patterns)
+        while pending and (not reads or time.perf_counter() < until):
+            step = {}
+            for q in sorted(pending):
+                whole, freq = patterns[q]
+                lower = [x for x in soft.LADDER if whole.threshold <= x < level[q]]
+                allowed = max(STEP_ROWS, STEP * reads.get(q, 0))
+                for x in lower:
+                    p = whole.at(x)
+                    n = sum(freq[t] for t in p.firsts)
+                    if q in step and n > allowed:
+                        break
+                    step[q], level[q], reads[q] = p, x, n
+            done = soft.merged(soft.found(self.grams, step, k).toArrow(), k)
+            for q in step:
+                best[q] = done.get(q, [])
+            pending = {q for q in pending if len(best[q]) < k and level[q] > patterns[q][0].threshold}
+        names = self._names_of({t for rows in best.values() for _, s, _ in rows for t in s})
+        return {q: [(i + 1, x, c, " ".join(names.get(t, TK.UNKNOWN) for t in s)) for i, (x, s, c) in enumerate(rows)] for q, rows in best.items()}
+
+    def _names_of(self, ids: set[int]) -> dict[int, str]:
+        if self._held or not ids:
+            return self._held.name if self._held else {}
+        return {r.tok: r.token for r in self.vocab.where(F.col("tok").isin(sorted(ids))).select("tok", "token").collect()}
+
+    def _all(self, p: soft.Pattern) -> DataFrame:
+        parts = soft.found(self.grams, {0: p}, None)
+        whole = parts.groupBy("seq").agg(F.sum("match_count").alias("match_count"), F.max("score").alias("score"))
+        return soft.ranked(soft.render(whole, self.vocab))
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("match_count", pa.int64()), ("phrase", pa.string())])
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)] if rows else [pa.array([], t.type) for t in schema], schema=schema)

@@ -18,10 +18,10 @@ from ..operators import soft
 from ..operators import tokens as TK
 from ..operators import vectors as V
 from ..operators.tokenizers import LETTERS, SPACES, WORDS
+from ..scratch import scratch
 from ..sources import text as S
 from ..streaming.counts import token_frequency_stream
 from .index import Index
-from .sizing import table_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,7 @@ ORACLES: dict[str, str] = {}
 
 # Fixed phrases and levels of the registered searches.
 PHRASE, SECOND, LOW = "the of", "on the and", 0.20
-PAIRS_BELOW, TRIPLES_BELOW, EVERY = 256, 192, 128
+EVERY = 128
 
 
 def query(sql: str | None = None):
@@ -77,8 +77,17 @@ class _Corpus:
         return V.weighted_vectors(self.vectors, TK.token_frequency(self.stream))
 
 
+_BUILT: dict[tuple[str, str], Index] = {}
+
+
 def _index(spark: SparkSession, d: str) -> Index:
-    return Index.plan(_docs(spark, d), _table(spark, d, "embeddings"), LETTERS)
+    """The index of a folder's tables, built once in this application's scratch folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        path = scratch(spark, "index")
+        Index.build(spark, _docs(spark, d), _table(spark, d, "embeddings"), path, LETTERS)
+        _BUILT[key] = Index.load(spark, path).cached()
+    return _BUILT[key]
 
 
 _TOK = r"""
@@ -174,18 +183,22 @@ def offset_deltas(spark, d):
 # --- n-grams ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_WIN} SELECT DISTINCT t0, t1 FROM g WHERE t0 < {PAIRS_BELOW} AND t1 < {PAIRS_BELOW}")
+@query(f"WITH {_WIN} SELECT DISTINCT t0, t1 FROM g")
 def bigram_set(spark, d):
-    return G.bigram_set(_Corpus(spark, d).windows, PAIRS_BELOW)
+    """All pairs of the corpus: the bound is the vocabulary's cap."""
+    c = _Corpus(spark, d)
+    return G.bigram_set(c.windows, c.cap)
 
 
-_B = TRIPLES_BELOW
-_TRIO = f"CAST({(_B + 2) * (_B + 1) * _B // 6} - ({_B} + 2 - t0) * ({_B} + 1 - t0) * ({_B} - t0) // 6 + t1 * ({_B} - t0) - t1 * (t1 - 1) // 2 + t2 AS BIGINT)"
+_B = "(SELECT 3 * c FROM cap)"
+_TRIO = f"CAST({_B} * ({_B} + 1) * ({_B} + 2) // 6 - ({_B} + 2 - t0) * ({_B} + 1 - t0) * ({_B} - t0) // 6 + t1 * ({_B} - t0) - t1 * (t1 - 1) // 2 + t2 AS BIGINT)"
 
 
-@query(f"WITH {_WIN} SELECT DISTINCT t0, t1, t2, {_TRIO} AS idx FROM g WHERE t0 + t1 + t2 < {_B}")
+@query(f"WITH {_WIN} SELECT DISTINCT t0, t1, t2, {_TRIO} AS idx FROM g")
 def trigram_set(spark, d):
-    return G.trigram_set(_Corpus(spark, d).windows, TRIPLES_BELOW)
+    """All triples: no sum of three ids reaches three times the cap."""
+    c = _Corpus(spark, d)
+    return G.trigram_set(c.windows, 3 * c.cap)
 
 
 @query(f"WITH {_WIN} SELECT {_T}, count(*) AS cnt, min(pos) AS first_pos FROM g GROUP BY {_T}")
@@ -266,40 +279,14 @@ def prefix_missing(spark, d):
 
 @query(f"""WITH {_WIN}{_PAT}{_SHUF}, g2 AS (SELECT DISTINCT t0, t1, 1 AS hit FROM g), g3b AS (SELECT *, 1 AS hit FROM g3)
 SELECT query_id, sh.t0, sh.t1, sh.t2,
-  CAST(CASE WHEN sh.t0 >= {PAIRS_BELOW} OR sh.t1 >= {PAIRS_BELOW} THEN 0 WHEN g2.hit = 1 THEN 2 ELSE 1 END AS INTEGER) AS pair_state,
-  CAST(CASE WHEN sh.t0 + sh.t1 + sh.t2 >= {_B} THEN 0 WHEN g3b.hit = 1 THEN 2 ELSE 1 END AS INTEGER) AS triple_state
-FROM sh LEFT JOIN g2 ON g2.t0 = sh.t0 AND g2.t1 = sh.t1 LEFT JOIN g3b ON g3b.t0 = sh.t0 AND g3b.t1 = sh.t1 AND g3b.t2 = sh.t2""")
+  CAST(CASE WHEN sh.t0 >= c // 2 OR sh.t1 >= c // 2 THEN 0 WHEN g2.hit = 1 THEN 2 ELSE 1 END AS INTEGER) AS pair_state,
+  CAST(CASE WHEN sh.t0 + sh.t1 + sh.t2 >= c THEN 0 WHEN g3b.hit = 1 THEN 2 ELSE 1 END AS INTEGER) AS triple_state
+FROM sh CROSS JOIN cap LEFT JOIN g2 ON g2.t0 = sh.t0 AND g2.t1 = sh.t1 LEFT JOIN g3b ON g3b.t0 = sh.t0 AND g3b.t1 = sh.t1 AND g3b.t2 = sh.t2""")
 def ngram_trichotomy(spark, d):
+    """Pairs of ids under half of the cap and triples with a sum under the cap are in range."""
     c = _Corpus(spark, d)
     wins, sh = c.windows, _shuffled(c, spark, d)
-    pairs = G.pair_state(sh, G.bigram_set(wins, PAIRS_BELOW), PAIRS_BELOW).withColumnRenamed("state", "pair_state")
-    return G.triple_state(pairs, G.trigram_set(wins, TRIPLES_BELOW), TRIPLES_BELOW).withColumnRenamed("state", "triple_state")
-
-
-def _bounds(wins: DataFrame, cap: int) -> tuple[int, int]:
-    """(pairs below, triples below) as Index.build takes them for this many tokens."""
-    sizes = table_sizes(wins.count())
-    return min(sizes.pair_below, cap - 1), sizes.trio_below
-
-
-@query()
-def bigram_set_sized(spark, d):
-    """bigram_set with the bound of a built index; so are the two after it."""
-    c = _Corpus(spark, d)
-    return G.bigram_set(c.windows, _bounds(c.windows, c.cap)[0])
-
-
-@query()
-def trigram_set_sized(spark, d):
-    c = _Corpus(spark, d)
-    return G.trigram_set(c.windows, _bounds(c.windows, c.cap)[1])
-
-
-@query()
-def ngram_trichotomy_sized(spark, d):
-    c = _Corpus(spark, d)
-    wins, sh = c.windows, _shuffled(c, spark, d)
-    below, sum_below = _bounds(wins, c.cap)
+    below, sum_below = c.cap // 2, c.cap
     pairs = G.pair_state(sh, G.bigram_set(wins, below), below).withColumnRenamed("state", "pair_state")
     return G.triple_state(pairs, G.trigram_set(wins, sum_below), sum_below).withColumnRenamed("state", "triple_state")
 
@@ -367,18 +354,37 @@ def covariance(spark, d):
     return V.covariance(_Corpus(spark, d).weighted).withColumn("cov", F.round("cov", 6))
 
 
-@query()
+# Gauss-Jordan elimination: a step clears one column of all other rows of (covariance | identity).
+_NORMS = """,
+m2 AS (SELECT a.i, b.i AS j, sum(a.p * a.v * b.v) AS m FROM x a JOIN x b ON a.tok = b.tok GROUP BY ALL),
+cv AS (SELECT m2.i, m2.j, m - a.mu * b.mu AS cov FROM m2 JOIN mu a ON a.i = m2.i JOIN mu b ON b.i = m2.j),
+a0 AS (SELECT i, list_concat(list(cov ORDER BY j), list_transform(range(64), lambda j: CASE WHEN j = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r FROM cv GROUP BY i),
+gj AS (SELECT 0 AS k, i, r FROM a0 UNION ALL
+  SELECT o.k + 1, o.i, CASE WHEN o.i = o.k THEN list_transform(o.r, lambda z: z / o.r[o.k + 1])
+    ELSE list_transform(range(1, 129), lambda j: o.r[j] - o.r[o.k + 1] / p.r[o.k + 1] * p.r[j]) END
+  FROM gj o JOIN gj p ON p.i = o.k WHERE o.k < 64),
+inv AS (SELECT i, r[65:128] AS r FROM gj WHERE k = 64),
+cen AS (SELECT vec_id AS tok, list_transform(range(1, 65), lambda j: embedding[j]::DOUBLE - ml[j]) AS c FROM embeddings, (SELECT list(mu ORDER BY i) AS ml FROM mu)),
+nm AS (SELECT tok, CASE WHEN tok IN (SELECT tok FROM f) THEN sum(c[i + 1] * list_dot_product(r, c)) ELSE 1e20 END AS norm FROM cen, inv GROUP BY tok),
+ed AS (SELECT tok, CASE WHEN tok >= 50000 THEN 1e10 ELSE norm END AS norm FROM nm),
+hd AS (SELECT row_number() OVER (ORDER BY norm) AS r, norm FROM ed, cap WHERE tok < c // 50),
+cut AS (SELECT CASE WHEN 2600 >= (SELECT c // 50 FROM cap) THEN 1e9 ELSE (SELECT max(norm) FROM hd WHERE r <= 2601) END AS cut),
+low AS (SELECT row_number() OVER (ORDER BY norm) - 1 AS r, norm FROM ed, cap, cut WHERE tok < c - 1 AND norm <= cut),
+coef AS (SELECT norm AS unit FROM low WHERE r = (SELECT least(50, count(*) - 1) FROM low))"""
+
+
+@query(f"WITH RECURSIVE {_MOM}{_NORMS} SELECT tok, round(norm, 4) AS norm FROM nm")
 def whitened_norm(spark, d):
     c = _Corpus(spark, d)
     return V.whitened_norms(c.vectors, TK.token_frequency(c.stream)).withColumn("norm", F.round("norm", 4))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MOM}{_NORMS} SELECT tok, round(exp(-norm / (unit * 2 / 5.0)), 6) AS mult FROM ed, coef, cap, cut WHERE tok < c - 1 AND norm <= cut AND exp(-norm / (unit * 2 / 5.0)) >= {LOW}")
 def edit_costs(spark, d):
     """Words that may be inserted into a phrase of two, and what that costs."""
     index = _index(spark, d)
     coef, cut = V.coefficient(index.norms, index.cap, 2)
-    return V.insert_words(index.norms, index.cap, coef, cut, LOW).withColumn("mult", F.round("mult", 6))
+    return V.insert_words(index.norms, index.cap, coef, cut, LOW).select("tok", F.round("mult", 6).alias("mult"))
 
 
 # --- scoring and pruning ------------------------------------------------------------------------------
@@ -400,24 +406,19 @@ def skyline(spark, d):
     return pruning.skyline(rows, "l_suppkey", "a", "b")
 
 
-_C3 = """, c AS (SELECT [t0] AS q, CAST(count(*) AS DOUBLE) AS score FROM g WHERE t0 < 40 GROUP BY ALL
-UNION ALL SELECT [t0, t1], 2.0 * count(*) FROM g WHERE t0 < 40 AND t1 < 40 GROUP BY ALL
-UNION ALL SELECT [t0, t1, t2], 4.0 * count(*) FROM g WHERE t0 < 40 AND t1 < 40 AND t2 < 40 GROUP BY ALL),
-k AS (SELECT q, score, ' ' || array_to_string(q, ' ') || ' ' AS h FROM c)"""
+# A sequence of three has five shorter runs: each is looked up.
+_C3 = """, k AS (SELECT t0 AS a, NULL::INTEGER AS b, NULL::INTEGER AS c3, -1.0 * count(*) AS s FROM g GROUP BY ALL
+UNION ALL SELECT t0, t1, NULL, -2.0 * count(*) FROM g GROUP BY ALL UNION ALL SELECT t0, t1, t2, -4.0 * count(*) FROM g GROUP BY ALL),
+o AS (SELECT *, CASE WHEN c3 IS NOT NULL THEN [a, b, c3] WHEN b IS NOT NULL THEN [a, b] ELSE [a] END AS q FROM k),
+one AS (SELECT a, {'s': s, 'q': q} AS o FROM o WHERE b IS NULL), two AS (SELECT a, b, {'s': s, 'q': q} AS o FROM o WHERE b IS NOT NULL AND c3 IS NULL),
+j AS (SELECT o.q, o.s, o.c3, o.b, {'s': o.s, 'q': o.q} AS own, x.o AS xa, y.o AS xb, z.o AS xc, u.o AS ab, v.o AS bc FROM o LEFT JOIN one x ON x.a = o.a LEFT JOIN one y ON y.a = o.b LEFT JOIN one z ON z.a = o.c3
+  LEFT JOIN two u ON u.a = o.a AND u.b = o.b LEFT JOIN two v ON v.a = o.b AND v.b = o.c3)"""
 
 
-@query(f"WITH {_WIN}{_C3} SELECT array_to_string(q, ' ') AS phrase, score FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.q <> k.q AND contains(k.h, o.h) AND (o.score > k.score OR (o.score = k.score AND o.q < k.q)))")
+@query(f"""WITH {_WIN}{_C3} SELECT array_to_string(q, ' ') AS phrase, -s AS score FROM j
+WHERE NOT (b IS NOT NULL AND (coalesce(xa < own, false) OR coalesce(xb < own, false))) AND NOT (c3 IS NOT NULL AND (coalesce(xc < own, false) OR coalesce(ab < own, false) OR coalesce(bc < own, false)))""")
 def containment_suppress(spark, d):
-    """Over sequences of ids under 40 only, as its SQL has it; containment_suppress_all takes all ids."""
-    wins = _Corpus(spark, d).windows
-    part = lambda n: wins.where(" and ".join(f"t{i} < 40" for i in range(n))).groupBy(F.array(*G.T[:n]).alias("seq")).agg((F.count("*") * float(2 ** (n - 1))).alias("score"))
-    kept = pruning.suppress_containing(part(1).unionByName(part(2)).unionByName(part(3)))
-    return kept.select(F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias("phrase"), "score")
-
-
-@query()
-def containment_suppress_all(spark, d):
-    """All sequences of one to three ids; the SQL's pairs are too many for them."""
+    """Over all sequences of one to three ids."""
     kept = pruning.suppress_grams(_Corpus(spark, d).windows)
     return kept.select(F.array_join(F.transform("seq", lambda x: x.cast("string")), " ").alias("phrase"), "score")
 
@@ -443,20 +444,55 @@ def soft_search_match_only(spark, d):
     return soft.render(found, index.vocab).select("phrase", "match_count", F.round("score", 6).alias("score")).where(F.col("score") >= LOW)
 
 
-@query()
+def _soft(searches: list[tuple[int, str, float, int | None]]) -> str:
+    """SQL of soft searches (query_id, phrase, level, k). States (done, gap, cost, mult) of sequences that occur grow by
+    a match, an insertion or a deletion, as long as they reach the level."""
+    rows = ", ".join(f"({q}, {i}, '{w}', {level}, {len(p.split())}, {k or 'NULL'})" for q, p, level, k in searches for i, w in enumerate(p.split()))
+    longest = min(12, max(4 * len(p.split()) - 3 for _, p, _, _ in searches))
+    score = "(1 - ln(1 + {c}) / ln(1e4)) * {m}"
+    return f"""WITH RECURSIVE {_MOM}{_NORMS},
+{_WIN.removeprefix(_TOK).lstrip(", ")},
+ask(query_id, i, token, level, size, k) AS (VALUES {rows}),
+good AS (SELECT query_id FROM ask LEFT JOIN voc USING (token) GROUP BY query_id HAVING bool_and(tok IS NOT NULL)),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / (sqrt({_DOT.format('embedding', 'embedding')}) + 1e-12)) AS v FROM embeddings),
+pat AS (SELECT query_id, i, level, size, v, exp(-norm / (unit * size / 5.0)) AS drop_by FROM ask JOIN good USING (query_id) JOIN voc USING (token) JOIN e ON vec_id = tok JOIN ed USING (tok), coef),
+q AS (SELECT query_id, max(level) AS level, max(size) AS size FROM pat GROUP BY query_id),
+tr AS (SELECT query_id, i, vec_id::INTEGER AS tok, pow(1e4, 1 - greatest({_DOT.format('pat.v', 'e.v')}, 0)) - 1 AS add_cost, 1.0::DOUBLE AS fac, 1 AS step FROM pat, e, cap WHERE vec_id IN (SELECT tok FROM voc) AND greatest({_DOT.format('pat.v', 'e.v')}, 0) >= greatest(level, 0.2)
+  UNION ALL SELECT query_id, i, tok::INTEGER, 0, exp(-norm / (unit * size / 5.0)), 0 FROM pat, ed, coef, cut WHERE tok IN (SELECT tok FROM voc) AND norm <= cut AND exp(-norm / (unit * size / 5.0)) >= greatest(level, 0.2)
+  UNION ALL SELECT query_id, i, NULL, 0, drop_by, 1 FROM pat),
+pre AS (SELECT [{_T.replace(" ", "")}][1:k] AS seq, count(*) AS cnt FROM g, (SELECT unnest(range(1, {longest} + 1)) AS k) WHERE t0 IN (SELECT tok FROM tr WHERE step = 1) GROUP BY ALL),
+st AS (SELECT query_id, []::INTEGER[] AS seq, 0::BIGINT AS i, 0::BIGINT AS gap, 0.0::DOUBLE AS cost, 1.0::DOUBLE AS mult FROM q
+  UNION SELECT st.query_id, CASE WHEN tok IS NULL THEN seq ELSE list_append(seq, tok) END, (st.i + step)::BIGINT, (CASE WHEN step = 0 THEN gap + 1 ELSE 0 END)::BIGINT, (cost + add_cost)::DOUBLE, (mult * fac)::DOUBLE
+  FROM st JOIN q ON q.query_id = st.query_id JOIN tr ON tr.query_id = st.query_id AND tr.i = st.i
+  WHERE (step = 1 OR (gap < 3 AND len(seq) > 0)) AND {score.format(c="(cost + add_cost)", m="(mult * fac)")} >= level - 1e-12
+    AND (tok IS NULL OR list_append(seq, tok) IN (SELECT seq FROM pre))),
+f0 AS (SELECT st.query_id, seq, round(max({score.format(c="cost", m="mult")}), 9) AS score FROM st JOIN q ON q.query_id = st.query_id AND i = size WHERE len(seq) > 0 GROUP BY ALL),
+runs AS (SELECT query_id, seq, score, unnest(list_distinct(flatten(list_transform(range(1, len(seq) + 1), lambda a: list_transform(range(a, len(seq) + 1), lambda b: seq[a:b]))))) AS run FROM f0),
+gone AS (SELECT DISTINCT r.query_id, r.seq FROM runs r JOIN f0 o ON o.query_id = r.query_id AND o.seq = r.run AND r.run <> r.seq WHERE o.score > r.score OR (o.score = r.score AND o.seq < r.seq)),
+res AS (SELECT f0.query_id, row_number() OVER (PARTITION BY f0.query_id ORDER BY score DESC, seq) AS rank, score, cnt AS match_count, seq FROM f0 JOIN pre USING (seq) WHERE (f0.query_id, seq) NOT IN (SELECT query_id, seq FROM gone)),
+top AS (SELECT * FROM res WHERE rank <= coalesce((SELECT max(k) FROM ask WHERE ask.query_id = res.query_id), 1e18)),
+w AS (SELECT query_id, rank, score, match_count, unnest(seq) AS tok, unnest(range(len(seq))) AS nth FROM top)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, score, match_count, string_agg(token, ' ' ORDER BY nth) AS phrase FROM w JOIN voc USING (tok) GROUP BY ALL"""
+
+
+BATCH = [(1, PHRASE), (2, SECOND), (3, "to the of in"), (4, "no-such-word")]
+
+
+@query(f"SELECT * EXCLUDE (query_id) FROM ({_soft([(0, PHRASE, 0.30, None)])})")
 def soft_search_full(spark, d):
     """All results at the lowest level, not only the best."""
     return _index(spark, d).search(PHRASE, None, 0.30)
 
 
-@query()
+@query(f"SELECT * EXCLUDE (query_id) FROM ({_soft([(0, SECOND, 0.45, 20)])})")
 def soft_search_topk(spark, d):
     return _index(spark, d).search(SECOND, 20, 0.45)
 
 
-@query()
+@query(_soft([(q, p, 0.45, 20) for q, p in BATCH]))
 def soft_search_batch(spark, d):
-    return _index(spark, d).search_batch([(1, PHRASE), (2, SECOND), (3, "to the of in"), (4, "no-such-word")], 20, 0.45)
+    """Four phrases, one of them unknown, in one pass a level."""
+    return _index(spark, d).search_batch(BATCH, 20, 0.45)
 
 
 @query("SELECT CAST(r AS BIGINT) AS line_id, 12 AS words FROM range(1000) t(r)")

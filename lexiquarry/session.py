@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -10,22 +12,33 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
-
 #: Rows and bytes of a batch that goes to Python: documents may be long, and each task holds a few.
-BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python, unless the session has settings of its own for that."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key) == default(spark, key):
+            spark.conf.set(key, value)
+
+
+def default(spark: SparkSession, key: str) -> str:
+    """What Spark takes where nobody has set the key."""
+    entry = spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(key)
+    return str(entry)
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for the functions that run there in Python, and
-    bounds the batches that they get."""
+    """Sends this package to the executors once, for the functions that run there in Python."""
     context = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
     top = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(), "lexiquarry.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "lexiquarry.zip")
     with zipfile.ZipFile(target, "w") as out:
         for folder, _, names in os.walk(top):
             for name in names:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import l2_normalize
-from ..registry import setup
+from ..plugins import Plugins
 
-register_embedding, get_embedding = setup("embedding")
+EMBEDDINGS = Plugins("embedding")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -21,19 +21,17 @@ def with_unknown(vectors: DataFrame) -> DataFrame:
     return vectors.unionByName(top.select("vec_id", F.array_repeat(F.lit(0.0), F.col("d")).alias("embedding")))
 
 
-@register_embedding("plain")
+@EMBEDDINGS.add("plain")
 def plain(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path)
 
 
-@register_embedding("gensim")
-@register_embedding("fasttext")
-@register_embedding("llama")
+@EMBEDDINGS.add("gensim", "fasttext", "llama")
 def zero_row(spark: SparkSession, path: str) -> DataFrame:
     return with_unknown(_read(spark, path))
 
 
-@register_embedding("transformers")
+@EMBEDDINGS.add("transformers")
 def unit_length(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path).withColumn("embedding", l2_normalize("embedding"))
 

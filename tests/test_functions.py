@@ -2,17 +2,21 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import columns as C
-from lexiquarry.operators.soft import LADDER, best_score, effective_threshold, reached_threshold
-from lexiquarry.plans.sizing import Sizes, table_sizes
-from lexiquarry.registry import names, setup
+from lexiquarry.operators.soft import LADDER, Pattern, effective_threshold, reached_threshold, walk
+from lexiquarry.operators.tokenizers import TOKENIZERS
+from lexiquarry.plugins import Plugins
+from lexiquarry.sources.vectors import EMBEDDINGS
 from lexiquarry.timing import Stopwatches
 
+from .plain_search import best_score
+
 
 def value(spark, c):
     return spark.range(1).select(c.alias("x")).first()["x"]
@@ -70,18 +74,18 @@ def test_runs_and_places(spark):
     assert C.format_eta(61) == "01:01" and C.format_eta(3661) == "1:01:01"
 
 
-def test_registry_and_timers():
-    register, get = setup("test-kind")
-    register("a")(1)
-    with pytest.raises(ValueError):
-        register("a")(2)
-    with pytest.raises(NotImplementedError):
-        get("b")
-    assert get("a") == 1 and names("test-kind") == ["a"]
+def test_plugins_and_timers():
+    some = Plugins("test kind")
+    some.add("a", item=1)
+    some.add("b", "c")(2)
+    with pytest.raises(LookupError, match="there already"):
+        some.add("a", item=2)
+    with pytest.raises(LookupError, match="unknown test kind 'd'"):
+        some["d"]
+    assert some == {"a": 1, "b": 2, "c": 2}
     import lexiquarry.operators.tokenizers as TK
-    import lexiquarry.sources.vectors  # noqa: F401
 
-    assert {"fasttext", "gensim", "llama", "transformers"} <= set(names("tokenizer")) and {"fasttext", "gensim", "llama", "transformers"} <= set(names("embedding"))
+    assert {"fasttext", "gensim", "llama", "transformers"} <= set(TOKENIZERS) and {"fasttext", "gensim", "llama", "transformers"} <= set(EMBEDDINGS)
     assert TK.fasttext_tokenizer("fasttext-el-vectors") is TK.MOSES and TK.fasttext_tokenizer("fasttext-ja-vectors") is TK.CHARACTERS and TK.fasttext_tokenizer("fasttext-fr-vectors") is TK.WORDS
     with pytest.raises(ValueError):
         TK.fasttext_tokenizer("other")
@@ -91,10 +95,6 @@ def test_registry_and_timers():
     assert t["x"].calls == 1 and set(t.report()) == {"x"}
 
 
-def test_sizes():
-    assert [table_sizes(n) for n in (10**6, 10**9, 10**12)] == [Sizes(1984, 416, 128), Sizes(9984, 1216, 1024), Sizes(9984, 1216, 65536)]
-
-
 def test_levels():
     assert len(LADDER) == 43 and LADDER[-1] == 0.20
     assert [effective_threshold(x) for x in (0.65, 0.45, 0.1, 0.995)] == [0.70, 0.45, 0.20, 0.99]
@@ -122,3 +122,24 @@ def test_best_score_by_enumeration():
         want = go(0, 0, 0, [], 1.0)
         got = best_score(seq, sims, insert, delete, 0.05)
         assert got == pytest.approx(want if want >= 0.05 else 0.0, abs=1e-9)
+
+
+def test_walk_scores_all_prefixes():
+    rng = random.Random(4)
+    for _ in range(60):
+        m = rng.randrange(1, 4)
+        sims = [{w: round(rng.random(), 2) for w in range(5) if rng.random() < 0.6} for _ in range(m)]
+        insert, delete = {w: round(rng.random(), 2) for w in range(5) if rng.random() < 0.6}, [round(rng.random(), 2) for _ in range(m)]
+        rows = [[rng.randrange(5) for _ in range(12)] for _ in range(40)]
+        level = rng.choice([0.05, 0.3, 0.6])
+        p = Pattern(sims, insert, delete, level)
+        got = {tuple(h): (c, x) for heads, cs, xs in walk(p, np.array(rows), np.arange(1, 41)) for h, c, x in zip(heads.tolist(), cs.tolist(), xs.tolist())}
+        want: dict = {}
+        for i, r in enumerate(rows):
+            for n in range(1, p.length + 1):
+                want[tuple(r[:n])] = want.get(tuple(r[:n]), 0) + i + 1
+        want = {s: (n, round(best_score(list(s), sims, insert, delete, level), 9)) for s, n in want.items()}
+        want = {s: x for s, x in want.items() if x[1] > 0}
+        assert got.keys() == want.keys()
+        assert all(got[s][0] == n and got[s][1] == pytest.approx(x, abs=2e-9) for s, (n, x) in want.items())
+        assert {s[0] for s in got} <= p.firsts

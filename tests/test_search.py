@@ -13,12 +13,14 @@ from lexiquarry.operators import ranges
 from lexiquarry.operators import tokens as TK
 from lexiquarry.operators import vectors as V
 from lexiquarry.operators.pruning import skyline, suppress_containing
-from lexiquarry.operators.soft import best_score, effective_threshold
+from lexiquarry.operators.soft import effective_threshold
 from lexiquarry.operators.tokenizers import LETTERS, WORDS
 from lexiquarry.plans.index import Index, PhraseTooLong, UnknownWord
 from lexiquarry.sources.text import corpus
 from lexiquarry.streaming.counts import token_frequency_stream
 
+from .plain_search import best_score
+
 WORD_LIST = [f"w{i}" for i in range(12)]
 
 
@@ -190,13 +192,23 @@ def test_search_is_monotone_and_batched(small, monkeypatch):
     index = small[0]
     low, high = ({r.phrase for r in index.search("w0 w1", None, x).collect()} for x in (0.3, 0.6))
     from lexiquarry.operators import soft
+    from lexiquarry.plans import index as plans
 
     plain = [tuple(r) for r in index.search("w0 w1", 20, 0.3).collect()]
+    whole = sorted(map(tuple, index.search("w0 w1", None, 0.3).collect()))
+    assert whole[:20] == plain and [r[0] for r in whole] == list(range(1, len(whole) + 1))
+    assert [tuple(r) for r in Index.load(index.docs.sparkSession, small[3]).cached().search("w0 w1", 20, 0.3).collect()] == plain
     monkeypatch.setattr(soft, "LITERALS", 0)  # joins instead of literals
+    monkeypatch.setattr(soft, "ROWS", 50)
+    monkeypatch.setattr(soft, "HELD", 5)
+    monkeypatch.setattr(plans, "STEP_ROWS", 1)  # one level after the other
+    monkeypatch.setattr(plans, "STEP", 1)
     assert [tuple(r) for r in index.search("w0 w1", 20, 0.3).collect()] == plain
-    batch = index.search_batch([(1, "w0 w1"), (2, "unknown"), (3, "w3")], 20, 0.3).collect()
-    assert sorted((r.rank, r.score, r.match_count, r.phrase) for r in batch if r.query_id == 1) == sorted(plain)
-    assert {r.query_id for r in batch} == {1, 3} and high and low
+    batch = index.search_batch([(1, "w0 w1"), (2, "unknown"), (3, "w3"), (4, "w2 w0 w5"), (5, " ".join(["w0"] * 13))], 20, 0.3).collect()
+    for q, phrase in ((1, "w0 w1"), (3, "w3"), (4, "w2 w0 w5")):
+        assert [(r.rank, r.score, r.match_count, r.phrase) for r in batch if r.query_id == q] == [tuple(r) for r in index.search(phrase, 20, 0.3).collect()]
+    assert {r.query_id for r in batch} == {1, 3, 4} and low and high
+    assert index.search_batch([]).collect() == [] and len(index.search("w0 w1", 20, 0.3, max_runtime=0.0).collect()) <= 20
 
 
 def test_substitution_fixture(spark):

@@ -64,8 +64,8 @@ def test_vocabulary_order_and_cap(spark):
 def test_embedding_flavours(spark, tmp_path):
     spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/v")
     path = f"{tmp_path}/v"
-    assert {r.vec_id: r.embedding for r in V.get_embedding("gensim")(spark, path).collect()}[2] == [0.0, 0.0]
-    assert V.get_embedding("transformers")(spark, path).where("vec_id = 0").first().embedding == pytest.approx([0.6, 0.8])
-    assert V.get_embedding("plain")(spark, path).count() == 2
+    assert {r.vec_id: r.embedding for r in V.EMBEDDINGS["gensim"](spark, path).collect()}[2] == [0.0, 0.0]
+    assert V.EMBEDDINGS["transformers"](spark, path).where("vec_id = 0").first().embedding == pytest.approx([0.6, 0.8])
+    assert V.EMBEDDINGS["plain"](spark, path).count() == 2
     ids = spark.createDataFrame([(1,)], "tok long")
     assert V.gather(ids, V.plain(spark, path)).first().embedding == [0.0, 2.0]

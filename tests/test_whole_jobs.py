@@ -1,10 +1,7 @@
 import random
 from collections import Counter
 
-from lexiquarry.operators.tokenizers import LETTERS
-from lexiquarry.plans.index import Index
-from lexiquarry.plans.queries import PAIRS_BELOW, QUERIES
-from lexiquarry.sources.text import corpus
+from lexiquarry.plans.queries import QUERIES
 
 
 def tables(spark, path, texts, vectors, passages=()):
@@ -32,27 +29,26 @@ def test_containment_takes_all_ids(spark, tmp_path):
                 score[tuple(wide[i : i + n])] += 2.0 ** (n - 1)
         runs = lambda q: {q[i:j] for i in range(len(q)) for j in range(i + 1, len(q) + 1)} - {q}
         want = {(" ".join(map(str, q)), s) for q, s in score.items() if not any((-score[o], o) < (-s, q) for o in runs(q) if o in score)}
-        got = [tuple(r) for r in QUERIES["containment_suppress_all"](spark, tables(spark, tmp_path / str(cap), texts, cap)).collect()]
+        got = [tuple(r) for r in QUERIES["containment_suppress"](spark, tables(spark, tmp_path / str(cap), texts, cap)).collect()]
         assert len(got) == len(want) and set(got) == want
         assert any(int(p.split()[0]) >= 40 for p, _ in got) and any(len(p.split()) == 3 for p, _ in got)
 
 
-def test_sized_tables_are_those_of_the_built_index(spark, tmp_path):
+def test_pairs_and_triples_are_whole(spark, tmp_path):
     rng = random.Random(3)
-    texts = [" ".join(rng.choices([f"w{i}" for i in range(400)], weights=[400 - i for i in range(400)], k=600)) for _ in range(60)]
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(400)], weights=[400 - i for i in range(400)], k=600)) for _ in range(20)]
     passages = [" ".join(t.split()[5:8]) for t in texts[:20]] + ["w399 w398 w397"]
-    path = tables(spark, tmp_path, texts, 350, passages)
-    index = f"{tmp_path}/ix"
-    Index.build(spark, corpus(spark.read.parquet(f"{path}/documents.parquet")), spark.read.parquet(f"{path}/embeddings.parquet"), index, LETTERS)
-    meta = Index.meta(spark, index)
-    assert meta["pair_below"] > PAIRS_BELOW
-    built = {n: {tuple(r) for r in spark.read.parquet(f"{index}/{n}").collect()} for n in ("bigrams", "trigrams")}
-    for name, n in (("bigram_set_sized", "bigrams"), ("trigram_set_sized", "trigrams")):
-        assert {tuple(r) for r in QUERIES[name](spark, path).collect()} == built[n]
-    pairs, triples = built["bigrams"], {r[:3] for r in built["trigrams"]}
-    rows = QUERIES["ngram_trichotomy_sized"](spark, path).collect()
+    cap = 350
+    path = tables(spark, tmp_path, texts, cap, passages)
+    ids = ids_of(texts, cap)
+    wide = [*ids, cap - 1, cap - 1]
+    pairs, triples = ({tuple(wide[i : i + n]) for i in range(len(ids))} for n in (2, 3))
+    assert {tuple(r) for r in QUERIES["bigram_set"](spark, path).collect()} == pairs
+    got = QUERIES["trigram_set"](spark, path).collect()
+    assert {tuple(r)[:3] for r in got} == triples and len({r.idx for r in got}) == len(triples)
+    rows = QUERIES["ngram_trichotomy"](spark, path).collect()
     for r in rows:
         t = (r.t0, r.t1, r.t2)
-        assert r.pair_state == (0 if max(t[:2]) >= meta["pair_below"] else 1 + (t[:2] in pairs))
-        assert r.triple_state == (0 if sum(t) >= meta["trio_below"] else 1 + (t in triples))
-    assert any(max(r.t0, r.t1) >= PAIRS_BELOW and r.pair_state == 2 for r in rows)
+        assert r.pair_state == (0 if max(t[:2]) >= cap // 2 else 1 + (t[:2] in pairs))
+        assert r.triple_state == (0 if sum(t) >= cap else 1 + (t in triples))
+    assert len({r.pair_state for r in rows}) > 1 and len({r.triple_state for r in rows}) > 1
