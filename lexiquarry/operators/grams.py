@@ -35,6 +35,11 @@ def distinct_grams(wins: DataFrame) -> DataFrame:
     return wins.groupBy(*T).agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
 
 
+def short_grams(grams: DataFrame) -> DataFrame:
+    """(t0, t1, t2, cnt): distinct triples, whose number the vocabulary bounds better than the text's length."""
+    return grams.groupBy("t0", "t1", "t2").agg(F.sum("cnt").alias("cnt"))
+
+
 def bigram_set(wins: DataFrame, below: int) -> DataFrame:
     """Distinct pairs of ids under `below`."""
     return wins.where((F.col("t0") < below) & (F.col("t1") < below)).select("t0", "t1").distinct()

@@ -9,6 +9,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from ..timing import Stopwatches
 LEXICON_BYTES = 512 << 20
 #: A search goes down the levels by steps that read at most STEP_ROWS rows, or STEP times those of the step before.
 STEP_ROWS, STEP = 2_000_000, 4
+#: Up to so many rows of grams are read without looking at the triples first: a pass costs a job.
+DIRECT_ROWS = 300_000
 
 
 class Lexicon:
@@ -66,7 +69,7 @@ class Index:
     """Tables of an index, and searches over them.
 
     words (doc_id, words), vocab (tok, token, freq), stream (pos, doc_id, tok_idx, tok), grams
-    (t0..t11, cnt, first_pos), vectors (vec_id, embedding of unit length), norms (tok, norm).
+    (t0..t11, cnt, first_pos), starts (t0..t2, cnt), vectors (vec_id, embedding of unit length), norms (tok, norm).
     """
 
     docs: DataFrame
@@ -74,6 +77,7 @@ class Index:
     stream: DataFrame
     windows: DataFrame
     grams: DataFrame
+    starts: DataFrame
     vectors: DataFrame
     norms: DataFrame
     cap: int
@@ -96,7 +100,8 @@ class Index:
         wins = G.windows(stream, cap)
         vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id") < cap)
         norms = V.whitened_norms(vectors, TK.token_frequency(stream)) if cap else vectors.select(F.col("vec_id").alias("tok"), F.lit(0.0).alias("norm"))
-        return cls(docs, vocab, stream, wins, G.distinct_grams(wins), vectors.withColumn("embedding", l2_normalize("embedding")), V.editable(norms), cap, tokenizer)
+        grams = G.distinct_grams(wins)
+        return cls(docs, vocab, stream, wins, grams, G.short_grams(grams), vectors.withColumn("embedding", l2_normalize("embedding")), V.editable(norms), cap, tokenizer)
 
     @classmethod
     def build(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame, path: str, tokenizer: RegexTokenizer = WORDS, cap: int | None = None) -> Index:
@@ -122,13 +127,14 @@ class Index:
         with timers["grams"]:
             put(G.windows(stream, cap).repartitionByRange("t0", "t1", "t2").sortWithinPartitions(*G.T, "pos"), "windows")
             put(G.distinct_grams(get("windows")).repartitionByRange("t0", "t1", "t2").sortWithinPartitions(*G.T), "grams")
-            grams = get("grams")
+            put(G.short_grams(get("grams")).repartitionByRange("t0", "t1", "t2").sortWithinPartitions("t0", "t1", "t2"), "starts")
+            starts = get("starts")
         with timers["norms"]:
             put(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id") < cap), "vectors")
             raw = get("vectors")
-            freq = grams.groupBy(F.col("t0").alias("tok")).agg(F.sum("cnt").alias("freq"))
-            put(V.editable(V.whitened_norms(raw, freq)), "norms")
-        total = int(grams.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0])
+            put(starts.groupBy(F.col("t0").alias("tok")).agg(F.sum("cnt").alias("freq")), "freq")
+            put(V.editable(V.whitened_norms(raw, get("freq"))), "norms")
+        total = int(get("freq").agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0])
         meta = {"cap": cap, "tokens": total, "tokenizer": [tokenizer.token, tokenizer.gap, tokenizer.lower]}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         out = cls.load(spark, path)
@@ -140,7 +146,7 @@ class Index:
         meta = cls.meta(spark, path)
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         vectors = get("vectors").withColumn("embedding", l2_normalize("embedding"))
-        return cls(get("docs"), get("vocab"), get("stream"), get("windows"), get("grams"), vectors, get("norms"), meta["cap"], RegexTokenizer(*meta["tokenizer"]))
+        return cls(get("docs"), get("vocab"), get("stream"), get("windows"), get("grams"), get("starts"), vectors, get("norms"), meta["cap"], RegexTokenizer(*meta["tokenizer"]))
 
     @staticmethod
     def meta(spark: SparkSession, path: str) -> dict:
@@ -187,12 +193,14 @@ class Index:
         return [r.tok for r in self.known(words)]
 
     def count(self, phrase: str) -> DataFrame:
-        return G.exact_count(self.grams, self.ids(self.split(phrase)))
+        ids = self.ids(self.split(phrase))
+        return G.exact_count(self.starts if len(ids) <= soft.SHORT else self.grams, ids)
 
     def contexts(self, phrase: str, display: int = 10, padding: int = 100) -> DataFrame:
         words = self.split(phrase)
         ids = self.ids(words)
-        return K.kwic(self.docs, self.windows, self.stream, ids, words[-1], display, padding, self.tokenizer)
+        count = self.count(phrase).first().match_count
+        return K.kwic(self.docs, self.windows, self.stream, ids, words[-1], display, padding, self.tokenizer, count)
 
     def pattern(self, words: list[Row], min_similarity: float) -> tuple[soft.Pattern, dict[int, int]]:
         """What a search of the words admits down to the level, and how often its words occur, by one pass over the
@@ -271,20 +279,39 @@ class Index:
                     if q in step and n > allowed:
                         break
                     step[q], level[q], reads[q] = p, x, n
-            done = soft.merged(soft.found(self.grams, step, k).toArrow(), k)
+            done = self._at_level(step, k, sum(reads[q] for q in step))
             for q in step:
                 best[q] = done.get(q, [])
             pending = {q for q in pending if len(best[q]) < k and level[q] > patterns[q][0].threshold}
         names = self._names_of({t for rows in best.values() for _, s, _ in rows for t in s})
         return {q: [(i + 1, x, c, " ".join(names.get(t, TK.UNKNOWN) for t in s)) for i, (x, s, c) in enumerate(rows)] for q, rows in best.items()}
 
+    def _at_level(self, step: dict[int, soft.Pattern], k: int, reads: int) -> dict[int, list]:
+        """k best of each pattern: first of distinct triples, then of the longer grams that such triples start. k short
+        results raise the level for the longer ones. Few rows are read at once."""
+        if reads <= DIRECT_ROWS:
+            return soft.merged(soft.whole(self.grams, step, k).toArrow(), k)
+        got = soft.short(self.starts, step, k).toArrow()
+        done, on = soft.merged(got, k), soft.onward(got.filter(pc.equal(got.column("match_count"), soft.ONWARD)))
+        if on:
+            rest = {q: step[q].at(max(step[q].threshold, done[q][-1][0])) if len(done.get(q, [])) >= k else step[q] for q in on}
+            places = [sorted({t for q in on for t in on[q][i]}) for i in range(soft.SHORT)]
+            more = soft.long(self.grams, rest, k, places).toArrow()
+            done = soft.merged(pa.concat_tables([got, more]), k)
+        return done
+
     def _names_of(self, ids: set[int]) -> dict[int, str]:
         if self._held or not ids:
             return self._held.name if self._held else {}
         return {r.tok: r.token for r in self.vocab.where(F.col("tok").isin(sorted(ids))).select("tok", "token").collect()}
 
     def _all(self, p: soft.Pattern) -> DataFrame:
-        parts = soft.found(self.grams, {0: p}, None)
+        brief = soft.short(self.starts, {0: p}, None)
+        marks = brief.where(F.col("match_count") == soft.ONWARD)
+        parts = brief.where(F.col("match_count") != soft.ONWARD)
+        on = soft.onward(marks.toArrow())  # ids of the vocabulary, three lists a task
+        if on:
+            parts = parts.unionByName(soft.long(self.grams, {0: p}, None, on[0]))
         whole = parts.groupBy("seq").agg(F.sum("match_count").alias("match_count"), F.max("score").alias("score"))
         return soft.ranked(soft.render(whole, self.vocab))
 

@@ -198,6 +198,8 @@ def test_search_is_monotone_and_batched(small, monkeypatch):
     whole = sorted(map(tuple, index.search("w0 w1", None, 0.3).collect()))
     assert whole[:20] == plain and [r[0] for r in whole] == list(range(1, len(whole) + 1))
     assert [tuple(r) for r in Index.load(index.docs.sparkSession, small[3]).cached().search("w0 w1", 20, 0.3).collect()] == plain
+    monkeypatch.setattr(plans, "DIRECT_ROWS", 0)  # triples first
+    assert [tuple(r) for r in index.search("w0 w1", 20, 0.3).collect()] == plain
     monkeypatch.setattr(soft, "LITERALS", 0)  # joins instead of literals
     monkeypatch.setattr(soft, "ROWS", 50)
     monkeypatch.setattr(soft, "HELD", 5)
