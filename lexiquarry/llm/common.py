@@ -2,59 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..scratch import cut, scratch, scratch_root
+from ..session import bound_batches, ship
 
-_ROOTS: dict[str, str] = {}
+__all__ = ["cut", "scratch", "scratch_root", "table", "crc32_text", "fold", "unit_hash", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir, which all executors share.
-
-    Only where that setting is absent (local tests) is a temporary folder made and set. The
-    folder goes when the driver process ends.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-        if not shared:
-            shared = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
-            spark.sparkContext.setCheckpointDir(shared)
-        _ROOTS[app] = f"{shared.rstrip('/')}/lexiquarry-{app}"
-        atexit.register(_drop, spark, _ROOTS[app])
-    return _ROOTS[app]
-
-
-def _drop(spark: SparkSession, root: str) -> None:
-    try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may already be gone
-        pass
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: computed once, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc32_text(col: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
