@@ -9,70 +9,101 @@ from pyspark.sql import functions as F
 
 from .common import fold
 from .samples import labelled_sample
-from .wordbytes import LOWER, NONSPACE, slices, words
+from .wordbytes import LOWER, NONSPACE, slices
 
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 12, 4, 128, 0.02, 5
-#: A sequence is a word with the white space around it; words of more bytes go in pieces.
-LONGEST = 32
-#: Documents of each language, documents in all and words of each language to learn from.
-PER_LANG, TOTAL, WORDS_PER_LANG = 250, 20_000, 6000
-#: Words whose result a task keeps.
-MEMO = 300_000
+#: A text is read in stretches of CORE bytes, each with CONTEXT bytes before it for the network that reads ahead and after
+#: it for the one that reads back. A text ends with white space up to a multiple of STEP bytes, and CONTEXT more.
+CORE, STEP, CONTEXT = 96, 32, 16
 EDGE = 32
+#: Documents of each language, documents in all, windows of each language to learn from, and their bytes.
+PER_LANG, TOTAL, WINDOWS_PER_LANG, WINDOW = 250, 20_000, 1500, 48
+#: A document of the pipeline needs labels so many times as sure as chance.
+LIFT = 1.1
+#: Stretches that are run at once.
+STRETCHES = 2048
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _act(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): like tanh, without an exponential. Its slope is (1 - |y|) squared where y is its value."""
+    return x / (1 + np.abs(x))
 
 
 class GRU:
-    """One direction. Inputs are byte numbers, so the input weights are a table of rows."""
+    """One direction. Inputs are byte numbers, so the input weights are a table of rows. Gates are (1 + act) / 2; the reset
+    gate acts on what the state gives to the candidate."""
 
     def __init__(self, rng, hidden: int):
         self.h = hidden
         self.w = (rng.standard_normal((256, 3 * hidden)) * 0.3).astype(np.float32)
         self.u = (rng.standard_normal((hidden, 3 * hidden)) / hidden**0.5).astype(np.float32)
 
+    def run(self, x: np.ndarray):
+        """The state after each of the steps of (n, steps) sequences, in one buffer: forward without a trace. Update
+        gate, reset gate and candidate have arrays of their own, so that every operation runs over whole ones."""
+        n, k, kind = len(x), self.h, self.w.dtype
+        w, u = ([np.ascontiguousarray(m[:, i * k : (i + 1) * k]) for i in range(3)] for m in (self.w, self.u))
+        h = np.zeros((n, k), kind)
+        z, r, c, g, t = (np.empty((n, k), kind) for _ in range(5))
+        for col in np.ascontiguousarray(x.T).astype(np.intp):
+            for i, gate in enumerate((z, r)):
+                np.take(w[i], col, axis=0, out=gate, mode="clip")
+                np.matmul(h, u[i], out=g)
+                gate += g
+                np.abs(gate, out=t)
+                t += 1
+                gate /= t
+                gate += 1
+                gate *= 0.5
+            np.take(w[2], col, axis=0, out=c, mode="clip")
+            np.matmul(h, u[2], out=g)
+            g *= r
+            c += g
+            np.abs(c, out=t)
+            t += 1
+            c /= t
+            c -= h
+            c *= z
+            h += c
+            yield h
+
     def forward(self, x: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States of (n, steps) sequences: (steps, n, hidden)."""
-        n, steps, k = len(x), x.shape[1], self.h
-        h = np.zeros((n, k), np.float32)
-        out = np.empty((steps, n, k), np.float32)
-        uzr, uc = np.ascontiguousarray(self.u[:, : 2 * k]), np.ascontiguousarray(self.u[:, 2 * k :])
-        for t in range(steps):
-            a = self.w[x[:, t]]
-            zr = _sigmoid(a[:, : 2 * k] + h @ uzr)
+        """States of (n, steps) sequences: (steps, n, hidden). trace gets what backward needs."""
+        n, k = len(x), self.h
+        h = np.zeros((n, k), self.w.dtype)
+        out = np.empty((x.shape[1], n, k), self.w.dtype)
+        for t in range(x.shape[1]):
+            a, g = self.w[x[:, t]], h @ self.u
+            zr = (1 + _act(a[:, : 2 * k] + g[:, : 2 * k])) / 2
             z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(a[:, 2 * k :] + (r * h) @ uc)
+            c = _act(a[:, 2 * k :] + r * g[:, 2 * k :])
             if trace is not None:
-                trace.append((h, z, r, c))
+                trace.append((h, z, r, c, g[:, 2 * k :]))
             h = h + z * (c - h)
             out[t] = h
         return out
 
     def backward(self, x: np.ndarray, trace: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of (w, u) through all steps, last to first."""
-        k = self.h
         dw, du = np.zeros_like(self.w), np.zeros_like(self.u)
         dh = np.zeros_like(trace[0][0])
-        uz, ur, uc = self.u[:, :k], self.u[:, k : 2 * k], self.u[:, 2 * k :]
+        one = np.eye(256, dtype=self.w.dtype)
+        gate_slope = lambda y: (1 - np.abs(2 * y - 1)) ** 2 / 2
         for t in range(len(trace) - 1, -1, -1):
-            h, z, r, c = trace[t]
+            h, z, r, c, gc = trace[t]
             dh = dh + dout[t]
-            da_c = dh * z * (1 - c * c)
-            drh = da_c @ uc.T
-            da_z = dh * (c - h) * z * (1 - z)
-            da_r = drh * h * r * (1 - r)
-            du[:, :k] += h.T @ da_z
-            du[:, k : 2 * k] += h.T @ da_r
-            du[:, 2 * k :] += (r * h).T @ da_c
-            np.add.at(dw, x[:, t], np.concatenate([da_z, da_r, da_c], axis=1))
-            dh = dh * (1 - z) + drh * r + da_z @ uz.T + da_r @ ur.T
+            da_c = dh * z * (1 - np.abs(c)) ** 2
+            da_z = dh * (c - h) * gate_slope(z)
+            da_r = da_c * gc * gate_slope(r)
+            dg = np.concatenate([da_z, da_r, da_c * r], axis=1)
+            du += h.T @ dg
+            dw += one[x[:, t]].T @ np.concatenate([da_z, da_r, da_c], axis=1)
+            dh = dh * (1 - z) + dg @ self.u.T
         return dw, du
 
 
 class LanguageModel:
-    """Two GRUs read a word from either end; each byte gets label probabilities from both states."""
+    """Two GRUs read from either end; each byte gets label probabilities from both states."""
 
     def __init__(self, langs: list[str], hidden: int = HIDDEN):
         rng = np.random.default_rng(SEED)
@@ -81,125 +112,118 @@ class LanguageModel:
         self.out = (rng.standard_normal((2 * hidden, len(langs))) * 0.1).astype(np.float32)
         self.bias = np.zeros(len(langs), np.float32)
 
-    @staticmethod
-    def padded(x: np.ndarray) -> np.ndarray:
-        edge = np.full((len(x), 1), EDGE, x.dtype)
-        return np.concatenate([edge, x, edge], axis=1)
-
     def states(self, x: np.ndarray, traces: tuple | None = None) -> np.ndarray:
-        """(steps, n, 2 hidden) of words of one length, without the white space around them."""
-        p = self.padded(x)
-        a = self.ahead.forward(p, traces[0] if traces else None)
-        b = self.back.forward(p[:, ::-1], traces[1] if traces else None)[::-1]
-        return np.concatenate([a, b], axis=2)[1:-1]
+        """(steps, n, 2 hidden) of sequences of one length."""
+        a = self.ahead.forward(x, traces[0] if traces else None)
+        b = self.back.forward(x[:, ::-1], traces[1] if traces else None)[::-1]
+        return np.concatenate([a, b], axis=2)
+
+    @staticmethod
+    def softmax(z: np.ndarray) -> np.ndarray:
+        z = np.exp(z - z.max(axis=-1, keepdims=True))
+        return z / z.sum(axis=-1, keepdims=True)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """Of every position and language: (steps, n, languages)."""
-        z = self.states(x) @ self.out + self.bias
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        return z / z.sum(axis=2, keepdims=True)
+        return self.softmax(self.states(x) @ self.out + self.bias)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean cross entropy over positions."""
         traces = ([], [])
         s = self.states(x, traces)
-        z = s @ self.out + self.bias
-        p = np.exp(z - z.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
+        p = self.softmax(s @ self.out + self.bias)
         p[:, np.arange(len(y)), y] -= 1
         p /= np.float32(p.shape[0] * p.shape[1])
         flat = p.reshape(-1, p.shape[2])
         dout, dbias = s.reshape(len(flat), -1).T @ flat, flat.sum(0)
-        ds = np.zeros((x.shape[1] + 2, len(x), 2 * self.ahead.h), np.float32)
-        ds[1:-1] = p @ self.out.T
-        padded, k = self.padded(x), self.ahead.h
-        return [*self.ahead.backward(padded, traces[0], ds[:, :, :k]), *self.back.backward(padded[:, ::-1], traces[1], ds[::-1, :, k:]), dout, dbias]
+        ds, k = p @ self.out.T, self.ahead.h
+        return [*self.ahead.backward(x, traces[0], ds[:, :, :k]), *self.back.backward(x[:, ::-1], traces[1], ds[::-1, :, k:]), dout, dbias]
 
-    def fit(self, groups: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Adam over batches of words of one length."""
+    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Adam over batches of windows of one length."""
         rng = np.random.default_rng(SEED)
         params = [self.ahead.w, self.ahead.u, self.back.w, self.back.u, self.out, self.bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        total = EPOCHS * sum(-(-len(y) // BATCH) for _, y in groups)
-        k = 0
+        total, k = EPOCHS * -(-len(y) // BATCH), 0
         for _ in range(EPOCHS):
-            batches = []
-            for g, (_, y) in enumerate(groups):
-                order = rng.permutation(len(y))
-                batches += [(g, order[i : i + BATCH]) for i in range(0, len(y), BATCH)]
-            for b in rng.permutation(len(batches)):
-                g, rows = batches[b]
+            order = rng.permutation(len(y))
+            for lo in range(0, len(y), BATCH):
+                rows = order[lo : lo + BATCH]
                 k += 1
                 rate = RATE * (1 - (k - 1) / total)
-                for p, d, mm, vv in zip(params, self.step(groups[g][0][rows], groups[g][1][rows]), m, v):
+                for p, d, mm, vv in zip(params, self.step(x[rows], y[rows]), m, v):
                     mm += 0.1 * (d - mm)
                     vv += 0.01 * (d * d - vv)
                     p -= (rate / (1 - 0.9**k)) * mm / (np.sqrt(vv / (1 - 0.99**k)) + 1e-8)
 
-    def word_sums(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Each word's probabilities, summed over its positions."""
-        out = np.zeros((len(starts), len(self.langs)), np.float32)
-        lens = ends - starts
-        for n in np.unique(lens).tolist():
-            at = np.flatnonzero(lens == n)
-            for lo in range(0, len(at), 4096):
-                part = at[lo : lo + 4096]
-                out[part] = self.probabilities(low[starts[part][:, None] + np.arange(n)]).sum(axis=0)
-        return out
-
-
-class Labeller:
-    """Pools positions to documents. Equal words have equal labels, so each is run once and kept."""
-
-    def __init__(self, model: LanguageModel):
-        self.model = model
-        self.clear()
-
-    def clear(self):
-        self.known, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(self.model.langs)), np.float32)
+    def stretches(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of the positions of (n, CONTEXT + size + CONTEXT) bytes but for the context: (size, n, languages)."""
+        k, size = self.ahead.h, x.shape[1] - 2 * CONTEXT
+        z = np.empty((size, len(x), len(self.langs)), np.float32)
+        for t, h in enumerate(self.ahead.run(x[:, : CONTEXT + size])):
+            if t >= CONTEXT:
+                np.matmul(h, self.out[:k], out=z[t - CONTEXT])
+        for t, h in enumerate(self.back.run(x[:, : CONTEXT - 1 : -1])):
+            if t >= CONTEXT:
+                z[size - 1 - (t - CONTEXT)] += h @ self.out[k:]
+        z += self.bias
+        z -= z.max(axis=2, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=2, keepdims=True)
+        return z
 
     def documents(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Mean label probabilities over all positions of each text; zeros without any."""
-        low = LOWER[buf]
-        starts, ends, h, bounds = words(low, off, NONSPACE, LONGEST)
-        u, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > MEMO:
-            self.clear()
-        at = np.searchsorted(self.known, u)
-        found = np.zeros(len(u), bool)
-        inside = at < len(self.known)
-        found[inside] = self.known[at[inside]] == u[inside]
-        sums = np.empty((len(u), len(self.model.langs)), np.float32)
-        sums[found] = self.sums[at[found]]
-        new = ~found
-        if new.any():
-            sums[new] = self.model.word_sums(low, starts[first[new]], ends[first[new]])
-            self.known = np.insert(self.known, at[new], u[new])
-            self.sums = np.insert(self.sums, at[new], sums[new], axis=0)
-        run = np.zeros((len(h) + 1, sums.shape[1]))
-        np.cumsum(sums[which], axis=0, dtype=np.float64, out=run[1:])
-        size = np.zeros(len(h) + 1)
-        np.cumsum(ends - starts, out=size[1:])
-        return (run[bounds[1:]] - run[bounds[:-1]]) / np.maximum(size[bounds[1:]] - size[bounds[:-1]], 1)[:, None]
+        """Mean label probabilities over all positions of each text that are no white space; zeros without any."""
+        return self.pooled(buf, off)[0]
+
+    def pooled(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and the mean of each position's largest probability: how sure the labels are, whatever their mix."""
+        low, lens = LOWER[buf], np.diff(off)
+        n = -(-lens // CORE)
+        doc = np.repeat(np.arange(len(lens)), n)
+        start = off[:-1][doc] + CORE * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
+        size = -(-np.minimum(CORE, off[1:][doc] - start) // STEP) * STEP
+        sums, sure, count = np.zeros((len(lens), len(self.langs))), np.zeros(len(lens)), np.zeros(len(lens))
+        for s in np.unique(size).tolist():
+            at = np.flatnonzero(size == s)
+            for lo in range(0, len(at), STRETCHES):
+                mine = at[lo : lo + STRETCHES]
+                pos = start[mine, None] + np.arange(-CONTEXT, s + CONTEXT)
+                inside = (pos >= off[:-1][doc[mine], None]) & (pos < off[1:][doc[mine], None])
+                x = np.where(inside, low[np.clip(pos, 0, len(low) - 1)], np.uint8(EDGE))
+                told = NONSPACE[x[:, CONTEXT : CONTEXT + s]]
+                each, weight = self.stretches(x), told.astype(np.float32)
+                p = np.einsum("tnl,nt->nl", each, weight)
+                sure += np.bincount(doc[mine], np.einsum("tn,nt->n", each.max(axis=2), weight), len(lens))
+                for j in range(p.shape[1]):
+                    sums[:, j] += np.bincount(doc[mine], p[:, j], len(lens))
+                count += np.bincount(doc[mine], told.sum(1), len(lens))
+        count = np.maximum(count, 1)
+        return sums / count[:, None], sure / count
 
 
 def train(sample: list[tuple[str, str]]) -> LanguageModel | None:
-    """From (language, text): draws words of each language as they occur, and groups them by length."""
+    """From (language, text): windows of each language's texts that start anywhere in them, or up to CONTEXT bytes before."""
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return None
     rng = np.random.default_rng(SEED)
-    by_len: dict[int, tuple[list, list]] = {}
+    xs, ys = [], []
     for k, lang in enumerate(langs):
-        low = LOWER[np.frombuffer(b"".join(t.encode() + b"\n" for name, t in sample if name == lang), np.uint8)]
-        starts, ends, _, _ = words(low, np.array([0, len(low)]), NONSPACE, LONGEST)
-        for i in rng.choice(len(starts), min(len(starts), WORDS_PER_LANG), replace=False).tolist() if len(starts) else []:
-            xs, ys = by_len.setdefault(int(ends[i] - starts[i]), ([], []))
-            xs.append(low[starts[i] : ends[i]])
+        texts = [t.encode() for name, t in sample if name == lang]
+        edge = bytes([EDGE])
+        low = LOWER[np.frombuffer(b"".join(edge * CONTEXT + t + edge * WINDOW for t in texts), np.uint8)]
+        last = np.cumsum([CONTEXT + len(t) + WINDOW for t in texts])
+        first = last - np.array([CONTEXT + len(t) + WINDOW for t in texts])
+        room = np.cumsum([CONTEXT + max(len(t) - WINDOW // 2, 1) for t in texts])
+        for spot in rng.integers(0, int(room[-1]), WINDOWS_PER_LANG).tolist():
+            i = int(np.searchsorted(room, spot, "right"))
+            at = int(first[i]) + spot - (int(room[i - 1]) if i else 0)
+            xs.append(low[at : at + WINDOW])
             ys.append(k)
     model = LanguageModel(langs)
     if len(langs) > 1:
-        model.fit([(np.array(xs), np.array(ys)) for _, (xs, ys) in sorted(by_len.items())])
+        model.fit(np.array(xs), np.array(ys))
     return model
 
 
@@ -218,11 +242,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     """
 
     def run(batches):
-        labeller = Labeller(model) if model else None
         for batch in batches:
-            p = [labeller.documents(buf, off) for _, buf, off in slices(batch.column(3))] if labeller else []
+            p = [model.documents(buf, off) for _, buf, off in slices(batch.column(3))] if model else []
             p = np.concatenate(p) if p else np.zeros((batch.num_rows, 1))
-            letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (labeller is not None)
+            letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (model is not None)
             best = p.argmax(axis=1)
             names = [model.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist())]
             score = np.where(letter, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
@@ -233,19 +256,21 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     return base.mapInArrow(run, f"{id_col} long, held_out boolean, {lang_col} string, score double")
 
 
-def accepted(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
-    """Rows of docs, unchanged, whose text has a language with at least min_score."""
+def accepted(docs: DataFrame, model: LanguageModel | None, lift: float = LIFT, text_col: str = "text") -> DataFrame:
+    """Rows of docs, unchanged, that have languages: not null, with a letter, and with positions whose labels are `lift` times
+    as sure, in the mean, as chance among the learned languages. A text in several languages is as sure as one in one."""
     letter = "_has_letter"
     while letter in docs.columns:
         letter += "_"
     at, flag = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
-        labeller = Labeller(model) if model else None
         for batch in batches:
-            p = [labeller.documents(buf, off) for _, buf, off in slices(batch.column(at))] if labeller else []
-            p = np.concatenate(p) if p else np.zeros((batch.num_rows, 1))
-            ok = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool) & (p.max(axis=1) >= min_score)
+            sure = [model.pooled(buf, off)[1] for _, buf, off in slices(batch.column(at))] if model else []
+            sure = np.concatenate(sure) if sure else np.zeros(batch.num_rows)
+            ok = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool) & (model is not None)
+            if model and len(model.langs) > 1:
+                ok &= sure >= lift / len(model.langs)
             yield batch.filter(pa.array(ok)).select(range(flag))
 
     return docs.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)

@@ -46,18 +46,82 @@ def test_nothing_to_learn(spark):
     assert langid.identify(df.limit(0), langid.fit(df.limit(0))).collect() == []
 
 
+def plain_gru(gru, xs):
+    """One sequence, one unit of the state at a time."""
+    k, out = gru.h, []
+    h = [0.0] * k
+    act = lambda x: x / (1 + abs(x))
+    for b in xs:
+        g = [sum(h[i] * float(gru.u[i, j]) for i in range(k)) for j in range(3 * k)]
+        a = [float(v) for v in gru.w[b]]
+        z = [(1 + act(a[j] + g[j])) / 2 for j in range(k)]
+        r = [(1 + act(a[k + j] + g[k + j])) / 2 for j in range(k)]
+        c = [act(a[2 * k + j] + r[j] * g[2 * k + j]) for j in range(k)]
+        h = [h[j] + z[j] * (c[j] - h[j]) for j in range(k)]
+        out.append(h)
+    return out
+
+
 def test_pooling_equals_brute_force():
-    model = langid.train([(lang, text) for _, text, lang, *_ in corpus(30)])
-    texts = ["kalo mi einung", "", "ÜBER " + "x" * 70 + " tu", "mi"]
-    got = [p for _, b, o in slices(pa.array(texts)) for p in langid.Labeller(model).documents(b, o)]
+    rng = np.random.default_rng(3)
+    model = langid.LanguageModel(["a", "b", "c"], hidden=4)
+    for p in (model.ahead.w, model.ahead.u, model.back.w, model.back.u, model.out):
+        p += rng.standard_normal(p.shape).astype(np.float32)
+    texts = ["kalo mi einung", "", "ÜBER " + "x" * 130 + " tu\n日本語" * 20, "mi", "a" * 96, "b" * 97, " \t\n", None]
+    got = [p for _, b, o in slices(pa.array(texts, pa.string())) for p in model.documents(b, o)]
+    assert len(got) == len(texts)
     for text, p in zip(texts, got):
+        low = [c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()]
         want = []
-        for w in text.split():
-            b = bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode())
-            for i in range(0, len(b), langid.LONGEST):
-                x = np.frombuffer(b[i : i + langid.LONGEST], np.uint8)[None]
-                want += list(model.probabilities(x)[:, 0])
-        assert np.allclose(p, np.mean(want, axis=0) if want else 0, atol=1e-5)
+        for at in range(0, len(low), langid.CORE):
+            size = -(-min(langid.CORE, len(low) - at) // langid.STEP) * langid.STEP
+            x = [low[i] if 0 <= i < len(low) else langid.EDGE for i in range(at - langid.CONTEXT, at + size + langid.CONTEXT)]
+            ahead = plain_gru(model.ahead, x[: langid.CONTEXT + size])[langid.CONTEXT :]
+            back = plain_gru(model.back, x[langid.CONTEXT :][::-1])[::-1][:size]
+            for i in range(size):
+                if at + i < len(low) and low[at + i] not in (32, 9, 10, 11, 12, 13):
+                    z = np.array([*ahead[i], *back[i]]) @ model.out + model.bias
+                    want.append(np.exp(z) / np.exp(z).sum())
+        assert np.allclose(p, np.mean(want, axis=0) if want else 0, atol=1e-4)
+
+
+def test_a_word_is_labelled_by_what_stands_around_it():
+    """gem is a word of both languages: its neighbours tell, across spaces."""
+    rng = random.Random(8)
+    own = {"aa": ["oka", "olo", "omi"], "bb": ["usch", "uein", "ubun"]}
+    text = lambda lang, n: " ".join("gem" if i % 2 else rng.choice(own[lang]) for i in range(n))
+    model = langid.train([(lang, text(lang, 400)) for lang in own for _ in range(4)])
+    share = {}
+    for lang in own:
+        t = text(lang, 31).encode()
+        x = np.frombuffer(t[:96], np.uint8)[None]
+        p = model.probabilities(x)[:, 0]
+        at = [i + j for i in range(20, 70) if t[i : i + 3] == b"gem" for j in range(3)]
+        share[lang] = p[at].mean(axis=0)
+    assert share["aa"][0] > 0.9 and share["bb"][1] > 0.9
+
+
+def test_mixed_languages_are_kept(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(df)
+    mixed = spark.createDataFrame([(1, rows[0][1] + " " + next(r[1] for r in rows if r[2] != rows[0][2])[: len(rows[0][1]) // 2], None, None, None)], SCHEMA)
+    assert langid.accepted(mixed, model).count() == 1
+
+
+def test_sample_does_not_depend_on_order(spark):
+    from lexiquarry.llm.samples import labelled_sample
+
+    docs = [(i % 50, f"text {i}") for i in range(200)] + [(60, "z " * 100_000), (61, None), (None, "x")]
+    labels = [(i % 50, str(i % 50 % 2)) for i in range(100)] + [(7, "0"), (60, "1"), (61, "1"), (None, "1"), (62, None)]
+    got = []
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rng.shuffle(docs), rng.shuffle(labels)
+        d = spark.createDataFrame(docs, "id long, text string").repartition(seed + 2)
+        got.append(labelled_sample(d, spark.createDataFrame(labels, "id long, label string").repartition(3), 1000, 2000))
+    assert got[0] == got[1] and len(got[0]) == 50  # all but 7, which has two labels
+    assert max(len(t) for _, t in got[0]) == 65_536
 
 
 def test_gradients():
