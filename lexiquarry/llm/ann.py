@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TABLES, FUNCTIONS, VALUES, WIDTH, SEED = 2, 6, 5, 0.8, 9
+from .common import cut
+
+TABLES, SEED = 2, 9
+#: There are as many functions as give buckets of about so many vectors, between these bounds.
+OCCUPANCY, LEAST_FUNCTIONS, MOST_FUNCTIONS = 2, 4, 24
 #: Probability, as estimated, that a neighbour lies in the buckets probed.
 TARGET = 0.98
-#: Exact queries from which the angle to the k-th neighbour is learned, and the quantile taken.
-CALIBRATION, QUANTILE = 64, 0.75
+#: Exact queries from which the angle to the k-th neighbour is learned, and the quantile taken; vectors from which
+#: the functions' offsets are.
+CALIBRATION, QUANTILE, OFFSETS = 64, 0.75, 1024
 #: Vectors and queries that meet in one task.
-BLOCK, QUERY_BLOCK = 32_768, 2_048
+BLOCK, QUERY_BLOCK = 8_192, 4_096
 SLACK = 1e-9
 
 
@@ -32,19 +37,32 @@ def _list(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), np.ascontiguousarray(m).reshape(-1))
 
 
+def functions_for(vectors: int) -> int:
+    """Bits of a bucket: one more for each doubling of the table."""
+    return min(MOST_FUNCTIONS, max(LEAST_FUNCTIONS, math.ceil(math.log2(max(1, vectors) / OCCUPANCY))))
+
+
 class Hashes:
-    """Projections on Gaussian directions, cut into cells of WIDTH; the outer cells are open.
+    """Projections on Gaussian directions, made orthogonal as far as they can be, cut at an offset into two open cells.
 
     Vectors are scaled by the largest norm and lifted to the unit sphere by one more component, and
-    queries are scaled to it, so the largest inner product is the smallest angle.
+    queries are scaled to it, so the largest inner product is the smallest angle. A bucket's code has one bit a
+    function: the first half of the bits is its left code, the others are its right code.
     """
 
-    def __init__(self, dim: int, norm: float):
+    def __init__(self, dim: int, norm: float, functions: int, sample: np.ndarray):
         rng = np.random.default_rng(SEED)
-        self.norm = norm
-        self.a = rng.standard_normal((TABLES, FUNCTIONS, dim + 1))
-        # on average the cells' middle is 0
-        self.b = rng.uniform(0, WIDTH, (TABLES, FUNCTIONS)) + WIDTH * (VALUES - 1) / 2
+        self.norm, self.n = norm, functions
+        self.a = rng.standard_normal((TABLES, functions, dim + 1))
+        for t in range(TABLES):
+            for lo in range(0, functions, dim + 1):
+                part = self.a[t, lo : lo + dim + 1]
+                q, r = np.linalg.qr(part.T)
+                self.a[t, lo : lo + dim + 1] = (q * np.sign(np.diag(r))).T * math.sqrt(dim + 1)
+        # an offset in the middle of a sample's projections halves the table
+        self.offset = np.array([np.median(self.projections(self.lifted(sample), t), axis=0) for t in range(TABLES)])
+        self.left = functions // 2
+        self.bits = [(np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(np.float64) for m in (self.left, functions - self.left)]
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.norm
@@ -58,26 +76,24 @@ class Hashes:
     def projections(self, unit: np.ndarray, table: int) -> np.ndarray:
         return unit @ self.a[table].T
 
-    def buckets(self, unit: np.ndarray, table: int) -> np.ndarray:
-        cell = np.clip(np.floor((self.projections(unit, table) + self.b[table]) / WIDTH), 0, VALUES - 1).astype(np.int64)
-        return cell @ VALUES ** np.arange(FUNCTIONS)
+    def codes(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Left and right codes."""
+        up = (self.projections(unit, table) >= self.offset[table]).astype(np.int64)
+        return up[:, : self.left] @ (1 << np.arange(self.left)), up[:, self.left :] @ (1 << np.arange(self.n - self.left))
 
-    def success(self, aimed: np.ndarray, table: int, occupied: np.ndarray, cosine: float) -> np.ndarray:
-        """(queries, buckets): the estimated probability that a neighbour at that angle is there.
+    def success(self, aimed: np.ndarray, table: int, cosine: float, lift: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, left codes) and (queries, right codes): a bucket's two values add up to the logarithm of the estimated
+        probability that a neighbour at that angle is in it.
 
-        Given the query's projection p, the neighbour's is normal about cosine * p; its deviation is
-        the sine times what of the direction the query leaves free.
+        The neighbour's projection is normal about cosine times the query's, and lift times the added component's, which
+        queries don't have; its deviation is what of the sine these leave.
         """
-        p = self.projections(aimed, table)
-        sine = math.sqrt(max(1e-12, 1 - cosine * cosine))
-        edges = np.arange(1, VALUES) * WIDTH - self.b[table][:, None]
-        z = (edges[None] - cosine * p[:, :, None]) / sine
-        upto = np.concatenate([np.zeros(z.shape[:2] + (1,)), _normal(z), np.ones(z.shape[:2] + (1,))], axis=2)
-        cells = np.diff(upto, axis=2)
-        out = np.ones((len(p), len(occupied)))
-        for i in range(FUNCTIONS):
-            out *= cells[:, i, occupied // VALUES**i % VALUES]
-        return out
+        mean = cosine * self.projections(aimed, table) + lift * self.a[table][:, -1]
+        z = (self.offset[table] - mean) / math.sqrt(max(1e-12, 1 - cosine * cosine - lift * lift))
+        low = np.clip(_normal(z), 1e-12, 1 - 1e-12)
+        off, on = np.log(low), np.log1p(-low)
+        cut = [slice(None, self.left), slice(self.left, None)]
+        return tuple(off[:, c] @ (1 - b).T + on[:, c] @ b.T for c, b in zip(cut, self.bits))
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
@@ -88,19 +104,23 @@ def _normal(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.sign(z) * erf)
 
 
-def probes(success: np.ndarray, target: float, sizes: np.ndarray, least: int) -> np.ndarray:
-    """Which buckets each query visits: in falling order of success, until their sum reaches target
-    and they hold `least` vectors."""
-    order = np.argsort(-success, axis=1, kind="stable")
-    ranked = np.take_along_axis(success, order, axis=1)
-    before = np.cumsum(ranked, axis=1) - ranked
-    # occupied buckets only: their sum may stay under 1
-    use = before < target * np.maximum(ranked.sum(1, keepdims=True), 1e-300)
-    held = sizes[order]
-    use |= np.cumsum(held, axis=1) - held < least
-    out = np.zeros(success.shape, bool)
-    np.put_along_axis(out, order, use, axis=1)
-    return out
+def probes(left: np.ndarray, right: np.ndarray, target: float) -> float:
+    """How low the sum of a query's left and right values may be, for buckets to be visited in falling order of success
+    until it adds up to target. The order is that of perturbations of the query's own bucket; its sums come from
+    the two halves, so no bucket is listed."""
+    a, b = np.sort(left)[::-1], np.sort(right)[::-1]
+    mass, upto = np.exp(a), np.concatenate([[0.0], np.cumsum(np.exp(b))])
+    falling = -b
+    lo, hi = a[-1] + b[-1], a[0] + b[0]
+    if mass @ upto[np.searchsorted(falling, a - hi + SLACK, "right")] >= target:
+        return hi - SLACK
+    for _ in range(40):  # lo is enough, hi is not
+        mid = (lo + hi) / 2
+        if mass @ upto[np.searchsorted(falling, a - mid, "right")] >= target:
+            lo = mid
+        else:
+            hi = mid
+    return lo - SLACK
 
 
 def top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, allowed: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -165,110 +185,151 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFr
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest by inner product of every row whose id is divisible by `every`, among all others.
 
-    Every vector is in one bucket of each table. A query visits buckets in the order of estimated
-    success until TARGET is reached over all tables; the estimate's angle comes from CALIBRATION
-    queries that are answered exactly. Buckets are packed into blocks of BLOCK vectors, larger ones
-    are split by id, and queries go by QUERY_BLOCK, so a task's input is bounded. A block gives each
-    query its k best visited vectors, and the tables' are merged.
+    Every vector is in one bucket of each table; buckets have as many bits as keep them small at any size of the table.
+    A query visits buckets in the order of estimated success until TARGET is reached over all tables; the
+    estimate's angle comes from CALIBRATION queries that are answered exactly. Buckets lie in blocks of about
+    BLOCK vectors by their left codes (a left code with more is split by id), and a query goes to the blocks that
+    have a bucket for it. A block with more than QUERY_BLOCK queries meets them in parts. A block gives each
+    query its k best visited vectors, the tables' are merged, and scores are exact. Queries that have not found k
+    among those visited go on to all blocks.
 
     Vectors that are null, zero, of another dimension than most, or hold null or non-finite
     components take no part; nor do rows without id. Rows that share an id count as one vector
     with the best of their scores. Fewer candidates than k give fewer rows; no vectors, none.
     Returns query_id, rank, vec_id, score.
     """
+    return search(vectors, k, every, id_col, vec_col)[0]
+
+
+class Visits:
+    """How many (query, vector) pairs were scored, of how many."""
+
+    def __init__(self, pairs: int, scored):
+        self.pairs, self._scored = pairs, scored
+
+    @property
+    def share(self) -> float:
+        """In the mean of the tables and after the result has been computed once."""
+        return self._scored.value / max(1, self.pairs * TABLES)
+
+
+def search(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, Visits | None]:
+    """nearest, and what it has visited."""
     spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base, dim = valid_vectors(vectors, id_col, vec_col)
     if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    norm = float(base.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0])
-    queries = base.where(F.col("vec_id") % every == 0)
+        return none, None
+    total, norm = base.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    queries = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     drawn = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()
     if not drawn:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hashes = Hashes(dim, norm)
+        return none, None
+    sample = base.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "v").limit(OFFSETS).collect()
+    hashes = Hashes(dim, float(norm), functions_for(total), np.array([r.v for r in sample]))
     dq, di = np.array([r.v for r in drawn]), np.array([r.vec_id for r in drawn])
-    last = exact_search(base, dq, di, k).groupBy("query_id").agg(F.min("score").alias("s")).collect()
+    near = exact_search(base, dq, di, k).collect()  # k rows for each of CALIBRATION queries
+    ends: dict[int, float] = {}
+    for r in near:
+        ends[r.query_id] = min(ends.get(r.query_id, math.inf), r.score)
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) / F.lit(float(norm))
+    met = base.where(F.col("vec_id").isin(sorted({r.vec_id for r in near}))).agg(F.avg(F.sqrt(F.greatest(F.lit(0.0), 1 - size * size)))).first()[0] if near else 0.0
     lens = dict(zip(di.tolist(), np.linalg.norm(dq, axis=1)))
-    cosine = float(np.quantile([r.s / (norm * lens[r.query_id]) for r in last], 1 - QUANTILE)) if last else 0.0
+    cosine = float(np.quantile([s / (norm * lens[i]) for i, s in ends.items()], 1 - QUANTILE)) if ends else 0.0
     cosine = min(max(cosine, 0.0), 0.999999)
+    lift = min(float(met or 0.0), math.sqrt(1 - cosine * cosine))
+    lefts = 1 << hashes.left
 
-    def bucketed(batches):
+    def coded(batches):
         for batch in batches:
             unit = hashes.lifted(_matrix(batch.column(1)))
             for t in range(TABLES):
-                b = hashes.buckets(unit, t) + t * VALUES**FUNCTIONS
-                yield pa.RecordBatch.from_arrays([pa.array(b), batch.column(0), batch.column(1)], names=["bucket", "vec_id", "v"])
-
-    placed = base.mapInArrow(bucketed, "bucket long, vec_id long, v array<double>")
-    # one row a bucket: TABLES * VALUES ** FUNCTIONS at most
-    counts = sorted((r.bucket, r.n) for r in placed.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).collect())
-    blocks, table, room, number = {}, -1, 0, -1
-    for b, n in counts:
-        t = b // VALUES**FUNCTIONS
+                left, right = hashes.codes(unit, t)
+                yield pa.RecordBatch.from_arrays([pa.array(left + t * lefts), pa.array(right), batch.column(0), batch.column(1)], names=["left", "right", "vec_id", "v"])
+
+    placed = base.mapInArrow(coded, "left long, right long, vec_id long, v array<double>")
+    # one row a left code: TABLES times the root of the number of buckets
+    counts = {r["left"]: r.n for r in placed.groupBy("left").agg(F.count("*").alias("n")).collect()}
+    first, parts, number, room, table = np.zeros(TABLES * lefts, np.int64), np.ones(TABLES * lefts, np.int64), -1, 0, -1
+    for code in sorted(counts):
+        n = counts[code]
         if n > BLOCK:
-            parts = -(-n // BLOCK)
-            blocks[b] = (number + 1, parts)
-            number, room = number + parts, 0
+            parts[code] = -(-n // BLOCK)
+            first[code], number, room = number + 1, number + int(parts[code]), 0
         else:
-            if t != table or n > room:
+            if code // lefts != table or n > room:
                 number, room = number + 1, BLOCK
-            blocks[b] = (number, 1)
-            room -= n
-        table = t
-    lookup = np.zeros((TABLES * VALUES**FUNCTIONS, 2), np.int64)
-    for b, x in blocks.items():
-        lookup[b] = x
-    occupied = [np.array([b - t * VALUES**FUNCTIONS for b, _ in counts if b // VALUES**FUNCTIONS == t], np.int64) for t in range(TABLES)]
-    sizes = [np.array([n for b, n in counts if b // VALUES**FUNCTIONS == t], np.int64) for t in range(TABLES)]
-    salts = max(1, -(-queries.count() // QUERY_BLOCK))
+            first[code], room = number, room - n
+        table = code // lefts
+    used = np.array(sorted(counts), np.int64)
     each = 1 - (1 - TARGET) ** (1 / TABLES)
 
     def dealt(batches):
         for batch in batches:
-            b, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            block = lookup[b, 0] + (i * 0x9E3779B1 >> 7) % lookup[b, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1), batch.column(2)], names=["block", "bucket", "vec_id", "v"])
-
-    def probing(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                q, ids = _matrix(part.column(1)), part.column(0).to_numpy()
-                aimed = hashes.aimed(q)
-                rows = []
-                for t in range(TABLES):
-                    use = probes(hashes.success(aimed, t, occupied[t], cosine), each, sizes[t], k + 1)
-                    own = lookup[occupied[t] + t * VALUES**FUNCTIONS]
-                    for number in np.unique(own[:, 0]).tolist():
-                        inside = own[:, 0] == number
-                        for i in np.flatnonzero(use[:, inside].any(axis=1)).tolist():
-                            bits = np.packbits(use[i, inside]).tobytes()
-                            rows += [(number + p, i, bits) for p in range(int(own[inside][0, 1]))]
-                n = np.array([r[1] for r in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(ids[n]), _list(q[n]) if len(n) else pa.array([], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.binary())], names=["block", "query_id", "q", "bits"])
-
-    first = {n: [] for n, _ in blocks.values()}
-    for b, (n, _) in sorted(blocks.items()):
-        first[n].append(b)
-    heads = sorted(first)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+            left, i = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            block = first[left] + ((i * 0x9E3779B1) >> 7) % parts[left]
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "left", "right", "vec_id", "v"])
+
+    def asking(target):
+        def run(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    q, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+                    aimed, rows = hashes.aimed(q), []
+                    for t in range(TABLES):
+                        mine = used[used // lefts == t]
+                        left, right = hashes.success(aimed, t, cosine, lift)
+                        for i in range(len(q)):
+                            floor = probes(left[i], right[i], target) if target < 1 else -math.inf
+                            near = mine[left[i, mine - t * lefts] + right[i].max() >= floor]
+                            for code in np.unique(first[near], return_index=True)[1].tolist():
+                                at = near[code]
+                                rows += [(int(first[at]) + j, i, floor) for j in range(int(parts[at]))]
+                    n = np.array([r[1] for r in rows], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(ids[n]), _list(q[n]) if len(n) else pa.array([], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.float64())], names=["block", "query_id", "q", "floor"])
+
+        return run
+
+    scored = spark.sparkContext.accumulator(0)
+
+    def meet(have: pa.Table, ask: pa.Table) -> pa.Table:
+        if not have.num_rows or not ask.num_rows:
             return pa.Table.from_batches([], RESULT)
-        x, xid, bucket = _matrix(left.column("v")), left.column("vec_id").to_numpy(), left.column("bucket").to_numpy()
-        block = int(left.column("block")[0].as_py())
-        members = np.array(first[heads[int(np.searchsorted(heads, block, "right")) - 1]])
-        place = np.searchsorted(members, bucket)
-        q, qid = _matrix(right.column("q")), right.column("query_id").to_numpy()
+        left, right = have.column("left").to_numpy(), have.column("right").to_numpy()
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        x, xid = _matrix(have.column("v"))[order], have.column("vec_id").to_numpy()[order]
+        t, left = int(left[0]) // lefts, left % lefts
+        heads = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        size = np.diff(np.append(heads, len(left)))
+        q, qid, floor = _matrix(ask.column("q")), ask.column("query_id").to_numpy(), ask.column("floor").to_numpy()
         out = []
-        bits = right.column("bits").to_pylist()
         for lo in range(0, len(q), 128):
-            use = np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[: len(members)] for b in bits[lo : lo + 128]]).astype(bool)
-            out.append(_results(qid[lo : lo + 128], top(q[lo : lo + 128], qid[lo : lo + 128], x, xid, k, use[:, place])))
+            part = slice(lo, lo + 128)
+            a, b = hashes.success(hashes.aimed(q[part]), t, cosine, lift)
+            visit = a[:, left[heads]] + b[:, right[heads]] >= floor[part, None]
+            scored.add(int((visit @ size).sum()))
+            some = np.repeat(visit.any(axis=0), size)  # buckets that none of these queries visits are left out
+            if some.any():
+                out.append(_results(qid[part], top(q[part], qid[part], x[some], xid[some], k, np.repeat(visit, size, axis=1)[:, some])))
         return pa.Table.from_batches(out, RESULT)
 
-    salt = F.pmod(F.xxhash64("query_id"), F.lit(salts))
-    ask = queries.dropDuplicates(["vec_id"]).mapInArrow(probing, "block long, query_id long, q array<double>, bits binary").withColumn("salt", salt)
-    have = placed.mapInArrow(dealt, "block long, bucket long, vec_id long, v array<double>").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    found = have.groupBy("block", "salt").cogroup(ask.groupBy("block", "salt")).applyInArrow(meet, DDL)
-    return _best(found, k)
+    have = placed.mapInArrow(dealt, "block long, left long, right long, vec_id long, v array<double>")
+
+    def visited(queries: DataFrame, target: float) -> DataFrame:
+        # probing is work of the queries alone, so it is spread by their number
+        spread = queries.repartition(max(1, min(4096, -(-queries.count() // 256))), "vec_id")
+        ask = cut(spread.mapInArrow(asking(target), "block long, query_id long, q array<double>, floor double"), "ann-probes")
+        salts = ask.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("salts"))
+        ask = ask.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("salts"))).drop("salts")
+        copies = have.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+        return copies.groupBy("block", "salt").cogroup(ask.groupBy("block", "salt")).applyInArrow(meet, DDL)
+
+    found = cut(visited(queries, each), "ann-found")
+    most = min(k, base.select("vec_id").distinct().count() - 1)
+    enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= most)
+    short = cut(queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti"), "ann-short")
+    if not short.isEmpty():
+        found = found.unionByName(visited(short, 1.0))
+    return _best(found, k), Visits(int(total) * queries.count(), scored)

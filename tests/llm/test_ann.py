@@ -63,7 +63,44 @@ def test_edges(spark):
 
 
 def test_visits_in_order_of_success():
-    s = np.array([[0.5, 0.1, 0.3, 0.1]])
-    n = np.array([5, 5, 5, 5])
-    assert ann.probes(s, 0.6, n, 1).tolist() == [[True, False, True, False]]
-    assert ann.probes(s, 0.6, n, 12).tolist() == [[True, True, True, False]]
+    rng = np.random.default_rng(5)
+    for target in (0.2, 0.7, 0.95):
+        left, right = (np.log(rng.dirichlet(np.ones(n) * 0.4) + 1e-9) for n in (16, 32))
+        floor = ann.probes(left, right, target)
+        each = np.sort((left[:, None] + right[None]).ravel())[::-1]
+        want = int(np.searchsorted(np.cumsum(np.exp(each)), target - 1e-7)) + 1
+        assert abs(int((each >= floor).sum()) - want) <= 1
+
+
+def test_success_is_the_share_of_neighbours():
+    """Vectors at one angle to the query lie in buckets about as often as estimated."""
+    rng = np.random.default_rng(6)
+    h = ann.Hashes(64, 1.0, 6, rng.standard_normal((500, 64)) / 8)
+    q = rng.standard_normal((1, 64))
+    q /= np.linalg.norm(q)
+    side = rng.standard_normal((40_000, 64))
+    side -= (side @ q.T) * q
+    near = 0.6 * q + 0.8 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    left, right = h.success(h.aimed(q), 0, 0.6)
+    told = np.exp(left[0][:, None] + right[0][None])
+    a, b = h.codes(h.lifted(near), 0)
+    got = np.bincount(a * 8 + b, minlength=64).reshape(8, 8) / len(near)
+    assert abs(told.sum() - 1) < 1e-9 and np.abs(told - got).max() < 0.04 and np.corrcoef(told.ravel(), got.ravel())[0, 1] > 0.97
+
+
+def test_visited_share_falls_as_the_table_grows(spark):
+    share = []
+    for n in (2000, 16_000):
+        rng = np.random.default_rng(1)
+        centres = rng.standard_normal((n // 40, 16)) * 2
+        vectors = centres[np.arange(n) % len(centres)] + 0.3 * rng.standard_normal((n, 16))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        rows = [(i, v.tolist(), None, 1) for i, v in enumerate(vectors)]
+        found, visits = ann.search(spark.createDataFrame(rows, SCHEMA), 10, 100)
+        got, want = {}, brute(rows, 10, 100)
+        for r in found.collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = np.mean([len(got[q] & {j for _, j in w}) / 10 for q, w in want.items()])
+        assert recall >= 0.9
+        share.append(visits.share)
+    assert share[1] < 0.6 * share[0] and share[1] < 0.15
