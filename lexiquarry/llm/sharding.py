@@ -14,8 +14,9 @@ RANGES_PER_SHARD = 32
 MAX_RANGES = 4096
 ROWS_PER_RANGE = 200_000
 DRAWS_PER_RANGE = 32
-GROUP_TOLERANCE = 0.01
-_ID_BITS = 23
+#: Equal texts with more than this share of a shard's bytes may be split among shards; all others stay together.
+GROUP_SHARE = 0.01
+_ROW_BITS = 23
 
 
 def _rank(bounds: list[int], key: Column) -> Column:
@@ -42,32 +43,37 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     Keys are drawn with a probability that follows the row's size, quantiles of the drawn keys
     bound fine ranges, and a range that turns out overfull gets further splitters. The exact sums
-    of the ranges then place every row, so shards differ by about one row, or by a hundredth of a
-    shard where a group of equal texts stays whole. A key is the text's hash, then the id's, so a
-    group larger than that is split by id and no range depends on one text.
+    of the ranges then place every row. A key is the text's hash, so equal texts have one key, lie in one range and
+    go to one shard. Only of a text whose rows have more than GROUP_SHARE of a shard's bytes (some hundreds of texts at
+    most, whatever the table) do the rows have keys of their own, so that no range and no shard
+    depends on one text, id or repeated row. Shards thus differ by one row or by GROUP_SHARE of a shard.
 
     Size is the UTF-8 bytes of the text plus 1. Null text has size 1 and the checksum of the empty
-    text; null ids and repeated rows are rows like any other; an empty table gives no rows. Other
+    text, and null texts are a group; null ids and repeated rows are rows like any other; an empty table gives no rows. Other
     columns are ignored. Returns id, size, text_crc32, law, shard, slot, grown_shard, range_id.
     """
     text = F.col(text_col).cast("string")
-    h, rid = F.xxhash64(text), F.xxhash64(F.col(id_col), F.lit(7))
-    low = (1 << _ID_BITS) - 1
-    rows = cut(
+    low = (1 << _ROW_BITS) - 1
+    base = cut(
         docs.select(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
             crc32_text(text).alias("crc"),
-            h.alias("h"),
-            h.bitwiseAND(F.lit(~low)).bitwiseOR(rid.bitwiseAND(F.lit(low))).alias("key"),
+            F.xxhash64(text).alias("h"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("row"),
         ),
         "shard-keys",
     )
+    all_bytes = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = base.groupBy("h").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("size") > F.lit(GROUP_SHARE * all_bytes / shards)) & (F.col("n") > 1))
+    hot = [r.h for r in large.select("h").collect()]  # shards / GROUP_SHARE texts at most
+    own = F.when(F.col("h").isin(hot), F.col("row").bitwiseAND(F.lit(low))).otherwise(F.lit(0).cast("long")) if hot else F.lit(0).cast("long")
+    rows = base.withColumn("key", F.col("h").bitwiseAND(F.lit(~low)).bitwiseOR(own))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n, total = int(n), max(1, int(total))
     ranges = max(RANGES_PER_SHARD * shards, min(MAX_RANGES, -(-n // ROWS_PER_RANGE)))
     weight = F.col("size") / F.lit(2.0 * total) + F.lit(1 / (2.0 * max(1, n)))
-    draw = unit_hash(F.col("key"), F.col("id"), F.lit(31))
+    draw = unit_hash(F.col("row"), F.lit(31))
 
     bounds = _splitters([r.key for r in rows.where(draw < weight * (ranges * DRAWS_PER_RANGE)).select("key").collect()], ranges)
     sums: dict[int, tuple[int, int]] = {}
@@ -79,7 +85,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
             break
         # only the overfull ranges are drawn from again, at a higher rate
         within = _rank(bounds, F.col("key"))
-        more = unit_hash(F.col("key"), F.col("id"), F.lit(32 + again)) < weight * (ranges * DRAWS_PER_RANGE * 4)
+        more = unit_hash(F.col("row"), F.lit(32 + again)) < weight * (ranges * DRAWS_PER_RANGE * 4)
         found: dict[int, list[int]] = {}
         for r in rows.where(within.isin(sorted(over)) & more).select("key").collect():
             found.setdefault(bisect_right(bounds, r.key), []).append(r.key)
@@ -96,13 +102,13 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     order = [F.col("key"), F.col("h"), F.col("id")]
     in_range = W.partitionBy("range_id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    group = W.partitionBy("range_id", "h")
+    group = W.partitionBy("range_id", "h", "key")
     placed = (
         rows.withColumn("range_id", _rank(bounds, F.col("key")))
         .withColumn("before", F.sum("size").over(in_range) - F.col("size"))
         .withColumn("g_size", F.sum("size").over(group))
         .withColumn("g_start", F.min("before").over(group))
-        .withColumn("mid2", F.when(F.col("g_size") <= F.lit(GROUP_TOLERANCE * total / shards), 2 * F.col("g_start") + F.col("g_size")).otherwise(2 * F.col("before") + F.col("size")))
+        .withColumn("mid2", 2 * F.col("g_start") + F.col("g_size"))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor((2 * base_of + F.col("mid2")) * F.lit(shards) / F.lit(2.0 * total))).cast("int"))
         .withColumn("nth", F.row_number().over(W.partitionBy("range_id", "shard").orderBy(*order)) - 1)
     )

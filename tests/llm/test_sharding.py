@@ -1,6 +1,9 @@
+import random
 import zlib
 from collections import defaultdict
 
+import xxhash
+
 from lexiquarry.llm.sharding import shard
 
 SCHEMA = "doc_id long, text string, size string"
@@ -38,3 +41,54 @@ def test_nulls_ties_empty(spark):
     got = rows_of(spark, [(None, None, None), (1, "", None), (1, "", None), (2, None, "a"), (3, "ü" * 100_000, "b")])
     assert len(got) == 5 and {r.size for r in got} == {1, 200_001}
     assert all(r.text_crc32 == 0 for r in got if r.size == 1)
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def plain(data, shards):
+    """Rows in order of the text's hash; each group of equal texts goes where its middle byte falls."""
+    low = (1 << 23) - 1
+    rows = [(signed(xxhash.xxh64((t or "").encode(), seed=42).intdigest()) if t is not None else 42, len((t or "").encode()) + 1, i, t) for i, t, _ in data]
+    groups = defaultdict(list)
+    for h, size, i, t in rows:
+        groups[h & ~low, h].append((size, i))
+    total, at, out = sum(r[1] for r in rows), 0, {}
+    for key in sorted(groups):
+        size = sum(x for x, _ in groups[key])
+        for _, i in groups[key]:
+            out[i] = min(shards - 1, (2 * at + size) * shards // (2 * total))
+        at += size
+    return out
+
+
+def test_equals_a_plain_version(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        data = [(i, rng.choice(["a b", "c", "", None, "ü"]) if rng.random() < 0.02 else f"text {seed} {rng.randrange(2000)} " + "x" * rng.randrange(60), "") for i in range(4000)]
+        got = rows_of(spark, data, 5)
+        assert {r.doc_id: r.shard for r in got} == plain(data, 5)
+        for s in range(5):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_groups_under_a_hundredth_of_a_shard_are_never_split(spark):
+    for seed in range(3):
+        data = [(i, "group %d of %d " % (i // 40, seed) + "pad" * 9, "") for i in range(40 * 960)]
+        shards, ranges = defaultdict(set), defaultdict(set)
+        for r in rows_of(spark, data, 8):
+            shards[r.text_crc32].add(r.shard)
+            ranges[r.text_crc32].add(r.range_id)
+        assert all(len(x) == 1 for x in [*shards.values(), *ranges.values()])
+
+
+def test_one_row_repeated_is_split(spark):
+    data = [(None, None, None)] * 3000 + [(5, "the very same row", None)] * 3000 + [(i, f"other {i}", None) for i in range(10, 1000)]
+    got = rows_of(spark, data, 4)
+    total, size, ranges = sum(r.size for r in got), defaultdict(int), defaultdict(int)
+    for r in got:
+        size[r.shard] += r.size
+        ranges[r.range_id] += 1
+    assert len(got) == len(data) and max(size.values()) - min(size.values()) < 0.03 * total / 4
+    assert max(ranges.values()) < 1500
