@@ -21,7 +21,9 @@ TARGET = 0.98
 #: the functions' offsets are.
 CALIBRATION, QUANTILE, OFFSETS = 64, 0.75, 1024
 #: Vectors and queries that meet in one task.
-BLOCK, QUERY_BLOCK = 8_192, 4_096
+BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Up to so many blocks' numbers of parts are broadcast (16 bytes each).
+BROADCAST_BLOCKS = 1_000_000
 SLACK = 1e-9
 
 
@@ -321,9 +323,10 @@ def search(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vec_c
         # probing is work of the queries alone, so it is spread by their number
         spread = queries.repartition(max(1, min(4096, -(-queries.count() // 256))), "vec_id")
         ask = cut(spread.mapInArrow(asking(target), "block long, query_id long, q array<double>, floor double"), "ann-probes")
+        few = F.broadcast if number < BROADCAST_BLOCKS else (lambda df: df)
         salts = ask.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("salts"))
-        ask = ask.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("salts"))).drop("salts")
-        copies = have.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+        ask = ask.join(few(salts), "block").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("salts"))).drop("salts")
+        copies = have.join(few(salts), "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
         return copies.groupBy("block", "salt").cogroup(ask.groupBy("block", "salt")).applyInArrow(meet, DDL)
 
     found = cut(visited(queries, each), "ann-found")
