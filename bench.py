@@ -64,6 +64,7 @@ def main() -> None:
     took["soft_search_median"] = round(statistics.median(each), 3)
     took["soft_search_p95"] = round(sorted(each)[int(0.95 * (len(each) - 1))], 3)
     timed("soft_search_low", lambda: index.search("on the and", 20, 0.20).collect())
+    timed("soft_search_batch_100", lambda: index.search_batch([(i, phrases[i % len(phrases)]) for i in range(100)], 20, 0.45).collect())
     timed("exact_count", lambda: index.count("on the").collect())
     timed("exact_contexts", lambda: index.contexts("on the", 10, 100).collect())
     try:

@@ -67,14 +67,9 @@ def fasttext_tokenizer(model: str) -> RegexTokenizer:
     return for_language(m[1])
 
 
-@TOKENIZERS.add("llama")
-def llama_tokenizer() -> RegexTokenizer:
-    return CHARACTERS
-
-
-@TOKENIZERS.add("transformers")
-def transformers_tokenizer() -> RegexTokenizer:
-    return CHARACTERS
+@TOKENIZERS.add("llama", "transformers")
+def subword_tokenizer(model: str | None = None) -> RegexTokenizer:
+    raise NotImplementedError("subword models are not supported; register a tokenizer of your own instead")
 
 
 def for_language(lang: str) -> RegexTokenizer:
