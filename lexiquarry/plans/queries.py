@@ -407,8 +407,8 @@ def skyline(spark, d):
 
 
 # A sequence of three has five shorter runs: each is looked up.
-_C3 = """, k AS (SELECT t0 AS a, NULL::INTEGER AS b, NULL::INTEGER AS c3, -1.0 * count(*) AS s FROM g GROUP BY ALL
-UNION ALL SELECT t0, t1, NULL, -2.0 * count(*) FROM g GROUP BY ALL UNION ALL SELECT t0, t1, t2, -4.0 * count(*) FROM g GROUP BY ALL),
+_C3 = """, k AS (SELECT t0 AS a, NULL::INTEGER AS b, NULL::INTEGER AS c3, -1e0 * count(*) AS s FROM g GROUP BY ALL
+UNION ALL SELECT t0, t1, NULL, -2e0 * count(*) FROM g GROUP BY ALL UNION ALL SELECT t0, t1, t2, -4e0 * count(*) FROM g GROUP BY ALL),
 o AS (SELECT *, CASE WHEN c3 IS NOT NULL THEN [a, b, c3] WHEN b IS NOT NULL THEN [a, b] ELSE [a] END AS q FROM k),
 one AS (SELECT a, {'s': s, 'q': q} AS o FROM o WHERE b IS NULL), two AS (SELECT a, b, {'s': s, 'q': q} AS o FROM o WHERE b IS NOT NULL AND c3 IS NULL),
 j AS (SELECT o.q, o.s, o.c3, o.b, {'s': o.s, 'q': o.q} AS own, x.o AS xa, y.o AS xb, z.o AS xc, u.o AS ab, v.o AS bc FROM o LEFT JOIN one x ON x.a = o.a LEFT JOIN one y ON y.a = o.b LEFT JOIN one z ON z.a = o.c3
