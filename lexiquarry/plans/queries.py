@@ -444,15 +444,19 @@ def soft_search_match_only(spark, d):
     return soft.render(found, index.vocab).select("phrase", "match_count", F.round("score", 6).alias("score")).where(F.col("score") >= LOW)
 
 
-def _soft(searches: list[tuple[int, str, float, int | None]]) -> str:
-    """SQL of soft searches (query_id, phrase, level, k). States (done, gap, cost, mult) of sequences that occur grow by
-    a match, an insertion or a deletion, as long as they reach the level."""
-    rows = ", ".join(f"({q}, {i}, '{w}', {level}, {len(p.split())}, {k or 'NULL'})" for q, p, level, k in searches for i, w in enumerate(p.split()))
-    longest = min(12, max(4 * len(p.split()) - 3 for _, p, _, _ in searches))
+def _asked(searches: list[tuple[int, str, float, int | None]]) -> str:
+    """SQL of a list of searches (query_id, phrase, level, k)."""
+    return "VALUES " + ", ".join(f"({q}, {i}, '{w}', {level}, {len(p.split())}, {k or 'NULL'})" for q, p, level, k in searches for i, w in enumerate(p.split()))
+
+
+def _soft(ask: str, size: int) -> str:
+    """SQL of the soft searches that `ask` gives, of `size` words at most. States (done, gap, cost, mult) of sequences that
+    occur grow by a match, an insertion or a deletion, as long as they reach the level."""
+    longest = min(12, 4 * size - 3)
     score = "(1 - ln(1 + {c}) / ln(1e4)) * {m}"
     return f"""WITH RECURSIVE {_MOM}{_NORMS},
 {_WIN.removeprefix(_TOK).lstrip(", ")},
-ask(query_id, i, token, level, size, k) AS (VALUES {rows}),
+ask(query_id, i, token, level, size, k) AS ({ask}),
 good AS (SELECT query_id FROM ask LEFT JOIN voc USING (token) GROUP BY query_id HAVING bool_and(tok IS NOT NULL)),
 e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / (sqrt({_DOT.format('embedding', 'embedding')}) + 1e-12)) AS v FROM embeddings),
 pat AS (SELECT query_id, i, level, size, v, exp(-norm / (unit * size / 5.0)) AS drop_by FROM ask JOIN good USING (query_id) JOIN voc USING (token) JOIN e ON vec_id = tok JOIN ed USING (tok), coef),
@@ -478,23 +482,35 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, score, match_count, string_agg(t
 BATCH = [(1, PHRASE), (2, SECOND), (3, "to the of in"), (4, "no-such-word")]
 
 
-@query(f"SELECT * EXCLUDE (query_id) FROM ({_soft([(0, PHRASE, 0.30, None)])})")
+@query(f"SELECT * EXCLUDE (query_id) FROM ({_soft(_asked([(0, PHRASE, 0.30, None)]), 2)})")
 def soft_search_full(spark, d):
     """All results at the lowest level, not only the best."""
     return _index(spark, d).search(PHRASE, None, 0.30)
 
 
-@query(f"SELECT * EXCLUDE (query_id) FROM ({_soft([(0, SECOND, 0.45, 20)])})")
+@query(f"SELECT * EXCLUDE (query_id) FROM ({_soft(_asked([(0, SECOND, 0.45, 20)]), 3)})")
 def soft_search_topk(spark, d):
     return _index(spark, d).search(SECOND, 20, 0.45)
 
 
-@query(_soft([(q, p, 0.45, 20) for q, p in BATCH]))
+@query(_soft(_asked([(q, p, 0.45, 20) for q, p in BATCH]), max(len(p.split()) for _, p in BATCH)))
 def soft_search_batch(spark, d):
     """Four phrases, one of them unknown, in one pass a level."""
     return _index(spark, d).search_batch(BATCH, 20, 0.45)
 
 
+_FIRST = r"""SELECT item_id, unnest(range(n)) AS i, l[unnest(range(n)) + 1], 0.45, n, 20
+FROM (SELECT item_id, l, least(len(l), 2) AS n FROM (SELECT item_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)) AS l FROM benchmark))"""
+
+
+@query(_soft(_FIRST, 2))
+def soft_search_benchmark(spark, d):
+    """The first two words of every benchmark passage, in one batch. An item's phrase passes through the driver."""
+    items = _table(spark, d, "benchmark").select("item_id", F.slice(LETTERS.tokens(F.col("text")), 1, 2).alias("w")).where(F.size("w") > 0)
+    phrases = [(r.item_id, " ".join(r.w)) for r in items.collect()]
+    return _index(spark, d).search_batch(phrases, 20, 0.45)
+
+
 @query("SELECT CAST(r AS BIGINT) AS line_id, 12 AS words FROM range(1000) t(r)")
 def synthetic_corpus(spark, d):
     lines = S.synthetic_lines(spark, 1000, 12, ["alpha", "beta", "gamma", "delta"])
