@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.soft import reached_threshold
-from .operators.tokenizers import TOKENIZERS, WORDS
+from .operators.tokenizers import TOKENIZERS, WORDS, Tokenizer
 from .plans.index import Index, PhraseTooLong, UnknownWord
 from .sources.text import text_files
 from .sources.vectors import EMBEDDINGS
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--vectors", required=True)
     index.add_argument("--backend", default="plain")
     index.add_argument("--tokenizer", default="words")
+    index.add_argument("--model", default=None, help="file or name of the tokenizer's model")
     index.add_argument("--max_vocab", type=int, default=2**19)
     search = sub.add_parser("search")
     search.add_argument("pattern")
@@ -58,12 +59,20 @@ def corpus_of(spark: SparkSession, path: str) -> DataFrame:
     return text_files(spark, path).select(F.col("line_id").alias("doc_id"), "text")
 
 
+def tokenizer_named(name: str, model: str | None = None) -> Tokenizer:
+    """A plug-in by name; those that are made from a model are given it."""
+    found = TOKENIZERS[name] if name else WORDS
+    if not callable(found):
+        return found
+    return found(model=model) if model else found()
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     began = time.perf_counter()
     if args.command == "index":
-        tokenizer = TOKENIZERS[args.tokenizer] if args.tokenizer else WORDS
+        tokenizer = tokenizer_named(args.tokenizer, args.model)
         built = Index.build(spark, corpus_of(spark, args.input), EMBEDDINGS[args.backend](spark, args.vectors), args.index, tokenizer, args.max_vocab)
         print({k: round(v, 2) for k, v in built.timers.report().items()})
         return 0

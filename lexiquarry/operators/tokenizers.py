@@ -1,13 +1,18 @@
-"""Tokenizers as regular expressions, so that splitting stays in the JVM."""
+"""Tokenizers as regular expressions, so that splitting stays in the JVM, and by subword models in Arrow batches."""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..plugins import Plugins
+from ..session import ship
 
 TOKENIZERS = Plugins("tokenizer")
 
@@ -33,6 +38,85 @@ class RegexTokenizer:
         return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(f"({self.gap})({self.token})"), F.lit(1))
 
 
+def _in_characters(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Rising places in UTF-8 bytes as places in characters."""
+    raw = text.encode()
+    out, at, chars = [], 0, 0
+    for a, b in places:
+        start = chars + len(raw[at:a].decode())
+        chars = start + len(raw[a:b].decode())
+        out.append((start, chars))
+        at = b
+    return out
+
+
+@lru_cache(maxsize=4)
+def _model(path: str) -> Callable[[list[str]], list[list[tuple[int, int]]]]:
+    """Places (start, end) of the pieces of texts; a model is loaded once a process."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [_in_characters(t, [(p.begin, p.end) for p in found.pieces]) for t, found in zip(texts, pieces.encode(texts, return_type="proto", num_threads=1))]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    return lambda texts: [e.offsets for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def pieces_of(text: str, places: list[tuple[int, int]]) -> Iterator[tuple[str, str]]:
+    """(what stands before it, piece) of each place, white space never being part of a piece. Of the pieces within one
+    character, the first is that character and the rest are left out."""
+    done = 0
+    for a, b in places:
+        a = max(a, done)
+        piece = text[a:b].strip()
+        if piece:
+            a = text.index(piece, a)
+            yield text[done:a], piece
+            done = a + len(piece)
+
+
+@dataclass(frozen=True)
+class SubwordTokenizer:
+    """Tokens are the pieces of a model file (.json of the tokenizers library, .model of sentencepiece), which every
+    executor must be able to read. A piece is known by the text that it covers: marks of word starts, which would part
+    a phrase's first piece from the same piece within a text, are no part of it."""
+
+    path: str
+    lower: bool = False
+
+    def _column(self, text: Column, which: int) -> Column:
+        path = self.path
+
+        @F.pandas_udf("array<string>")
+        def cut(texts: pd.Series) -> pd.Series:
+            whole = texts.tolist()
+            return pd.Series([[p[which] for p in pieces_of(t, at)] for t, at in zip(whole, _model(path)(whole))], dtype=object)
+
+        ship(SparkSession.active())
+        return cut(F.coalesce(text.cast("string"), F.lit("")))
+
+    def raw_tokens(self, text: Column) -> Column:
+        return self._column(text, 1)
+
+    def tokens(self, text: Column) -> Column:
+        raw = self.raw_tokens(text)
+        return F.transform(raw, F.lower) if self.lower else raw
+
+    def gaps(self, text: Column) -> Column:
+        return self._column(text, 0)
+
+
+Tokenizer = RegexTokenizer | SubwordTokenizer
+
+
+def tokenizer_of(fields: dict) -> Tokenizer:
+    """The tokenizer of an index's metadata."""
+    return SubwordTokenizer(**fields) if "path" in fields else RegexTokenizer(**fields)
+
+
 _WORD = r"[\p{L}\p{N}]+"
 _PUNCT = r"[^\p{L}\p{N}\s]"
 
@@ -68,8 +152,9 @@ def fasttext_tokenizer(model: str) -> RegexTokenizer:
 
 
 @TOKENIZERS.add("llama", "transformers")
-def subword_tokenizer(model: str | None = None) -> RegexTokenizer:
-    raise NotImplementedError("subword models are not supported; register a tokenizer of your own instead")
+def subword_tokenizer(model: str) -> SubwordTokenizer:
+    """By a model's file."""
+    return SubwordTokenizer(model)
 
 
 def for_language(lang: str) -> RegexTokenizer:

@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranges import with_prefix_sums
-from .tokenizers import WORDS, RegexTokenizer
+from .tokenizers import WORDS, Tokenizer
 
 UNKNOWN = "<unk>"
 DEFAULT_CAP = 2**19
 
 
-def document_tokens(docs: DataFrame, tokenizer: RegexTokenizer = WORDS) -> DataFrame:
+def document_tokens(docs: DataFrame, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """(doc_id, words) of a corpus (doc_id, text)."""
     return docs.select("doc_id", tokenizer.tokens(F.col("text")).alias("words"))
 
@@ -58,7 +58,7 @@ def token_stream(words: DataFrame, vocab: DataFrame, cap: int) -> DataFrame:
     return encode(rows, vocab, cap).select((F.col("base") + F.col("tok_idx")).alias("pos"), "doc_id", "tok_idx", "tok")
 
 
-def token_spans(docs: DataFrame, tokenizer: RegexTokenizer = WORDS) -> DataFrame:
+def token_spans(docs: DataFrame, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """(doc_id, tok_idx, token, byte_off): UTF-8 byte offsets in the document."""
     raw = docs.select("doc_id", F.posexplode(F.arrays_zip(tokenizer.gaps(F.col("text")).alias("gap"), tokenizer.raw_tokens(F.col("text")).alias("raw"))).alias("tok_idx", "s"))
     raw = raw.select("doc_id", "tok_idx", F.col("s.0").alias("gap") if "0" in raw.schema["s"].dataType.names else F.col("s.gap"), F.col("s.1").alias("raw") if "1" in raw.schema["s"].dataType.names else F.col("s.raw"))
@@ -68,7 +68,7 @@ def token_spans(docs: DataFrame, tokenizer: RegexTokenizer = WORDS) -> DataFrame
     return raw.select("doc_id", "tok_idx", token.alias("token"), (end - F.octet_length("raw")).cast("long").alias("byte_off"))
 
 
-def encode_with_spans(docs: DataFrame, vocab: DataFrame, cap: int, tokenizer: RegexTokenizer = WORDS) -> DataFrame:
+def encode_with_spans(docs: DataFrame, vocab: DataFrame, cap: int, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """(doc_id, tok_idx, tok, byte_off)."""
     return encode(token_spans(docs, tokenizer), vocab, cap).select("doc_id", "tok_idx", "tok", "byte_off")
 

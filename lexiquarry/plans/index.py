@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from math import exp
 
 import numpy as np
@@ -19,7 +19,7 @@ from ..operators import kwic as K
 from ..operators import soft
 from ..operators import tokens as TK
 from ..operators import vectors as V
-from ..operators.tokenizers import WORDS, RegexTokenizer
+from ..operators.tokenizers import WORDS, Tokenizer, tokenizer_of
 from ..timing import Stopwatches
 
 
@@ -81,14 +81,14 @@ class Index:
     vectors: DataFrame
     norms: DataFrame
     cap: int
-    tokenizer: RegexTokenizer = WORDS
+    tokenizer: Tokenizer = WORDS
     timers: Stopwatches = field(default_factory=Stopwatches)
     _names: dict[str, Row | None] = field(default_factory=dict)
     _held: Lexicon | None = None
     _low: tuple[list[float], float] | None = None
 
     @classmethod
-    def plan(cls, docs: DataFrame, vectors: DataFrame, tokenizer: RegexTokenizer = WORDS, cap: int | None = None) -> Index:
+    def plan(cls, docs: DataFrame, vectors: DataFrame, tokenizer: Tokenizer = WORDS, cap: int | None = None) -> Index:
         """All tables as plans over (doc_id, text) and (vec_id, embedding); nothing is written.
 
         The vocabulary has as many ids as there are vectors, cap at most; the last is for all other words.
@@ -104,7 +104,7 @@ class Index:
         return cls(docs, vocab, stream, wins, grams, G.short_grams(grams), vectors.withColumn("embedding", l2_normalize("embedding")), V.editable(norms), cap, tokenizer)
 
     @classmethod
-    def build(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame, path: str, tokenizer: RegexTokenizer = WORDS, cap: int | None = None) -> Index:
+    def build(cls, spark: SparkSession, docs: DataFrame, vectors: DataFrame, path: str, tokenizer: Tokenizer = WORDS, cap: int | None = None) -> Index:
         """Writes the tables under path, then opens them.
 
         windows (the suffix order) and grams are range-partitioned and sorted by their ids, so that
@@ -135,7 +135,7 @@ class Index:
             put(starts.groupBy(F.col("t0").alias("tok")).agg(F.sum("cnt").alias("freq")), "freq")
             put(V.editable(V.whitened_norms(raw, get("freq"))), "norms")
         total = int(get("freq").agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0])
-        meta = {"cap": cap, "tokens": total, "tokenizer": [tokenizer.token, tokenizer.gap, tokenizer.lower]}
+        meta = {"cap": cap, "tokens": total, "tokenizer": asdict(tokenizer)}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         out = cls.load(spark, path)
         out.timers = timers
@@ -146,7 +146,7 @@ class Index:
         meta = cls.meta(spark, path)
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         vectors = get("vectors").withColumn("embedding", l2_normalize("embedding"))
-        return cls(get("docs"), get("vocab"), get("stream"), get("windows"), get("grams"), get("starts"), vectors, get("norms"), meta["cap"], RegexTokenizer(*meta["tokenizer"]))
+        return cls(get("docs"), get("vocab"), get("stream"), get("windows"), get("grams"), get("starts"), vectors, get("norms"), meta["cap"], tokenizer_of(meta["tokenizer"]))
 
     @staticmethod
     def meta(spark: SparkSession, path: str) -> dict:

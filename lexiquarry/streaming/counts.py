@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tokenizers import WORDS, RegexTokenizer
+from ..operators.tokenizers import WORDS, Tokenizer
 
 
-def token_frequency_stream(docs: DataFrame, tokenizer: RegexTokenizer = WORDS) -> DataFrame:
+def token_frequency_stream(docs: DataFrame, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """(token, freq) over a streaming DataFrame of (doc_id, text); write it in complete or update mode."""
     return docs.select(F.explode(tokenizer.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))

@@ -89,8 +89,7 @@ def test_plugins_and_timers():
     assert TK.fasttext_tokenizer("fasttext-el-vectors") is TK.MOSES and TK.fasttext_tokenizer("fasttext-ja-vectors") is TK.CHARACTERS and TK.fasttext_tokenizer("fasttext-fr-vectors") is TK.WORDS
     with pytest.raises(ValueError):
         TK.fasttext_tokenizer("other")
-    with pytest.raises(NotImplementedError):
-        TOKENIZERS["llama"]()
+    assert TOKENIZERS["llama"]("m.json") == TK.SubwordTokenizer("m.json") == TK.tokenizer_of({"path": "m.json", "lower": False})
     t = Stopwatches()
     with t["x"]:
         pass
