@@ -3,11 +3,14 @@
     python -m lexiquarry.cli index --index DIR --vectors PARQUET FILE
     python -m lexiquarry.cli search --index DIR "phrase"
     python -m lexiquarry.cli exact --index DIR "phrase"
+
+FILE may be - for standard input. --config_path names a JSON or YAML file of defaults for the options.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import time
 
@@ -17,13 +20,14 @@ from pyspark.sql import functions as F
 from .operators.soft import reached_threshold
 from .operators.tokenizers import TOKENIZERS, WORDS, Tokenizer
 from .plans.index import Index, PhraseTooLong, UnknownWord
-from .sources.text import text_files
+from .sources.text import json_lines, standard_input, text_files
 from .sources.vectors import EMBEDDINGS
 
 RED, BLUE, OFF = "\x1b[31m", "\x1b[34m", "\x1b[0m"
 
 
-def parser() -> argparse.ArgumentParser:
+def parser(defaults: dict | None = None) -> argparse.ArgumentParser:
+    every: set[str] = set()
     out = argparse.ArgumentParser(prog="lexiquarry")
     sub = out.add_subparsers(dest="command", required=True)
     index = sub.add_parser("index")
@@ -33,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--tokenizer", default="words")
     index.add_argument("--model", default=None, help="file or name of the tokenizer's model")
     index.add_argument("--max_vocab", type=int, default=2**19)
+    index.add_argument("--jsonl_key", default=None, help="each line is a JSON object with its text under this key")
     search = sub.add_parser("search")
     search.add_argument("pattern")
     search.add_argument("--num_candidates", type=int, default=20)
@@ -44,9 +49,36 @@ def parser() -> argparse.ArgumentParser:
     exact.add_argument("--padding", type=int, default=100)
     for p in (index, search, exact):
         p.add_argument("--index", required=True)
+        p.add_argument("--config_path", default=None)
+        known = {a.dest for a in p._actions}
+        p.set_defaults(**{k: v for k, v in (defaults or {}).items() if k in known})
+        for a in p._actions:
+            a.required = a.required and a.dest not in (defaults or {})
+        every |= known
+    if unknown := set(defaults or {}) - every:
+        out.error(f"no such options: {', '.join(sorted(unknown))}")
     return out
 
 
+def defaults_of(path: str) -> dict:
+    """Options by name, of a JSON file, or of a YAML file where that library is there."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
+def options(argv: list[str] | None = None) -> argparse.Namespace:
+    """Options as given, else as the file of --config_path has them, else the engine's own."""
+    first = argparse.ArgumentParser(add_help=False)
+    first.add_argument("--config_path", default=None)
+    path = first.parse_known_args(argv)[0].config_path
+    return parser(defaults_of(path) if path else None).parse_args(argv)
+
+
 def result_table(rows: list) -> list[str]:
     """Lines of (rank, score, match_count, phrase): score as per cent with one decimal."""
     width = max(6, *(len(f"{r.match_count:,}") for r in rows)) if rows else 6
@@ -54,9 +86,10 @@ def result_table(rows: list) -> list[str]:
     return lines + [f"| {r.rank:>4} | {round(r.score * 100, 1):>5} | {r.match_count:>{width},} | {r.phrase}" for r in rows]
 
 
-def corpus_of(spark: SparkSession, path: str) -> DataFrame:
-    """A text file: each line is a document of its own, numbered in order."""
-    return text_files(spark, path).select(F.col("line_id").alias("doc_id"), "text")
+def corpus_of(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A text file, or standard input: each line is a document of its own, numbered in order."""
+    lines = text_files(spark, standard_input(spark) if path == "-" else path)
+    return (json_lines(lines, "text", key) if key else lines).select(F.col("line_id").alias("doc_id"), "text")
 
 
 def tokenizer_named(name: str, model: str | None = None) -> Tokenizer:
@@ -68,13 +101,15 @@ def tokenizer_named(name: str, model: str | None = None) -> Tokenizer:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    args = options(argv)
     spark = SparkSession.builder.getOrCreate()
     began = time.perf_counter()
     if args.command == "index":
         tokenizer = tokenizer_named(args.tokenizer, args.model)
-        built = Index.build(spark, corpus_of(spark, args.input), EMBEDDINGS[args.backend](spark, args.vectors), args.index, tokenizer, args.max_vocab)
+        built = Index.build(spark, corpus_of(spark, args.input, args.jsonl_key), EMBEDDINGS[args.backend](spark, args.vectors), args.index, tokenizer, args.max_vocab)
         print({k: round(v, 2) for k, v in built.timers.report().items()})
+        meta = Index.meta(spark, args.index)
+        print(f"#Lines     : {meta['documents']:,}\n#Tokens    : {meta['tokens']:,}\n#Vocabulary: {meta['words']:,} (ids for {meta['cap']:,})")
         return 0
     index = Index.load(spark, args.index)
     try:

@@ -124,10 +124,25 @@ _PUNCT = r"[^\p{L}\p{N}\s]"
 WORDS = RegexTokenizer(rf"{_WORD}|{_PUNCT}", r"\s*")
 LETTERS = RegexTokenizer(_WORD, r"[^\p{L}\p{N}]*")
 SPACES = RegexTokenizer(r"[^ \t\n\r]+", r"[ \t\n\r]*")
-#: Numbers, hyphened words, clitics and runs of dots stay whole, as in the usual machine-translation
-#: tokenizer; its abbreviation lists are not applied.
-MOSES = RegexTokenizer(rf"\p{{N}}+(?:[.,:]\p{{N}}+)*|\p{{L}}[\p{{L}}\p{{N}}]*(?:-{_WORD})*|\.{{2,}}|'(?:s|re|ve|d|m|ll|t)\b|{_PUNCT}", r"\s*")
-MOSES_SPLIT = RegexTokenizer(rf"\p{{N}}+(?:[.,:]\p{{N}}+)*|\p{{L}}[\p{{L}}\p{{N}}]*|\.{{2,}}|'(?:s|re|ve|d|m|ll|t)\b|{_PUNCT}", r"\s*")
+# English abbreviations that keep their full stop, and those that keep it before a number only.
+PREFIXES = "Adj Adm Adv Asst Bart Bldg Brig Bros Capt Cmdr Col Comdr Con Corp Cpl DR Dr Drs Ens Gen Gov Hon Hosp Insp Lt MM MR MRS MS Maj Messrs Mlle Mme Mr Mrs Ms Msgr Op Ord Pfc Ph Prof Pvt Rep Reps Res Rev Rt Sen Sens Sfc Sgt Sr St Supt Surg v vs i.e rev e.g"
+NUMERIC_PREFIXES = "No Nos Art Nr pp"
+#: A full stop stays with a word that holds another, a single capital, an abbreviation, or before a small letter.
+_STOP = "|".join(
+    [
+        r"\p{L}[\p{L}\p{N}]*(?:\.\p{L}[\p{L}\p{N}]*)+(?:\.(?=\s|$))?",
+        r"\p{Lu}\.(?=\s|$)",
+        rf"(?:{'|'.join(p.replace('.', chr(92) + '.') for p in PREFIXES.split())})\.(?=\s|$)",
+        rf"(?:{'|'.join(NUMERIC_PREFIXES.split())})\.(?=\s+\p{{Nd}})",
+        r"\p{L}[\p{L}\p{N}]*\.(?=\s+\p{Ll})",
+    ]
+)
+_NUMBER = r"\p{N}+(?:[.,:]\p{N}+)*"
+_REST = rf"\.{{2,}}|'(?:s|re|ve|d|m|ll|t)\b|{_PUNCT}"
+#: Numbers, hyphened words, clitics, abbreviations and runs of dots stay whole, as in the usual
+#: machine-translation tokenizer.
+MOSES = RegexTokenizer(rf"{_NUMBER}|{_STOP}|\p{{L}}[\p{{L}}\p{{N}}]*(?:-{_WORD})*|{_REST}", r"\s*")
+MOSES_SPLIT = RegexTokenizer(rf"{_NUMBER}|{_STOP}|\p{{L}}[\p{{L}}\p{{N}}]*|{_REST}", r"\s*")
 #: One token a character, for scripts without spaces; the query side is not lower-cased.
 CHARACTERS = RegexTokenizer(r"[A-Za-z0-9]+|\S", r"\s*", lower=False)
 

@@ -34,6 +34,13 @@ def vocabulary(rows: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
     return top.select(number.cast("int").alias("tok"), "token", "freq")
 
 
+def named_vocabulary(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(tok, token, freq) of the words that occur and have a vector (vec_id, word): ids are the vectors'. Of vectors
+    with one name the first counts; a null name is none."""
+    ids = vectors.where(F.col("word").isNotNull()).groupBy(F.col("word").alias("token")).agg(F.min("vec_id").cast("int").alias("tok"))
+    return rows.groupBy("token").agg(F.count("*").alias("freq")).join(ids, "token").select("tok", "token", "freq")
+
+
 def encode(rows: DataFrame, vocab: DataFrame, cap: int) -> DataFrame:
     """Adds tok; words out of the vocabulary get cap - 1. vocab has cap rows at most, so it is broadcast."""
     return rows.join(F.broadcast(vocab.select("token", "tok")), "token", "left").withColumn("tok", F.coalesce("tok", F.lit(cap - 1)))

@@ -20,6 +20,7 @@ from ..operators import soft
 from ..operators import tokens as TK
 from ..operators import vectors as V
 from ..operators.tokenizers import WORDS, Tokenizer, tokenizer_of
+from ..sources.vectors import with_unknown
 from ..timing import Stopwatches
 
 
@@ -92,10 +93,12 @@ class Index:
         """All tables as plans over (doc_id, text) and (vec_id, embedding); nothing is written.
 
         The vocabulary has as many ids as there are vectors, cap at most; the last is for all other words.
+        Vectors with a column `word` give the words their ids; without it ids are ranks by frequency.
         """
+        vectors = _within(vectors, cap or TK.DEFAULT_CAP)
         cap = min(vectors.count(), cap or TK.DEFAULT_CAP)
         words = TK.document_tokens(docs, tokenizer)
-        vocab = TK.vocabulary(TK.token_rows(words), cap)
+        vocab = _vocabulary(TK.token_rows(words), vectors, cap)
         stream = TK.token_stream(words, vocab, cap)
         wins = G.windows(stream, cap)
         vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id") < cap)
@@ -113,13 +116,14 @@ class Index:
         timers = Stopwatches()
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
         get = lambda name: spark.read.parquet(f"{path}/{name}")
+        vectors = _within(vectors, cap or TK.DEFAULT_CAP)
         cap = min(vectors.count(), cap or TK.DEFAULT_CAP)
         with timers["tokenize"]:
             put(docs, "docs")
             docs = get("docs")
             put(TK.document_tokens(docs, tokenizer), "words")
             words = get("words")
-            put(TK.vocabulary(TK.token_rows(words), cap), "vocab")
+            put(_vocabulary(TK.token_rows(words), vectors, cap), "vocab")
             vocab = get("vocab")
         with timers["positions"]:
             put(TK.token_stream(words, vocab, cap), "stream")
@@ -135,7 +139,7 @@ class Index:
             put(starts.groupBy(F.col("t0").alias("tok")).agg(F.sum("cnt").alias("freq")), "freq")
             put(V.editable(V.whitened_norms(raw, get("freq"))), "norms")
         total = int(get("freq").agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0])
-        meta = {"cap": cap, "tokens": total, "tokenizer": asdict(tokenizer)}
+        meta = {"cap": cap, "tokens": total, "documents": docs.count(), "words": vocab.count(), "tokenizer": asdict(tokenizer)}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         out = cls.load(spark, path)
         out.timers = timers
@@ -316,6 +320,15 @@ class Index:
         return soft.ranked(soft.render(whole, self.vocab))
 
 
+def _within(vectors: DataFrame, cap: int) -> DataFrame:
+    """Named vectors under the cap, with a zero vector for unknown words as the last; others as they are."""
+    return with_unknown(vectors.where(F.col("vec_id") < cap - 1)) if "word" in vectors.columns else vectors
+
+
+def _vocabulary(rows: DataFrame, vectors: DataFrame, cap: int) -> DataFrame:
+    return TK.named_vocabulary(rows, vectors) if "word" in vectors.columns else TK.vocabulary(rows, cap)
+
+
 def _table(rows: list[tuple]) -> pa.Table:
     schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("match_count", pa.int64()), ("phrase", pa.string())])
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)] if rows else [pa.array([], t.type) for t in schema], schema=schema)

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from typing import BinaryIO
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ranges import with_prefix_sums
+from ..scratch import scratch
+
+#: Bytes of standard input that the driver holds at once.
+INPUT_BYTES = 4 << 20
+# How far a bound on tokens lies over the sample's estimate, and what each new try adds.
+SAFETY, SAFETY_STEP = 1.3, 0.05
 
 
 def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,6 +52,20 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), start.cast("long").alias("byte_start"), "text")
 
 
+def standard_input(spark: SparkSession, stream: BinaryIO | None = None) -> str:
+    """The path of a copy of standard input in the shared folder, from which executors can read it by splits."""
+    path = scratch(spark, "input")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    try:
+        while piece := (stream or sys.stdin.buffer).read(INPUT_BYTES):
+            out.write(bytearray(piece))
+    finally:
+        out.close()
+    return path
+
+
 def json_lines(df: DataFrame, json_col: str, key: str) -> DataFrame:
     """A column of JSON objects, or a file's lines of them, to the text under /key."""
     return df.withColumn("text", F.get_json_object(F.col(json_col), f"$.{key.lstrip('/')}"))
@@ -68,6 +91,19 @@ def estimate_tokens(docs: DataFrame, tokenizer, fraction: float = 1.0, seed: int
     return part.agg((F.coalesce(F.sum(F.size(tokenizer.tokens(F.col("text")))), F.lit(0)) / F.lit(min(1.0, fraction))).cast("long").alias("tokens"))
 
 
+def token_bound(docs: DataFrame, tokenizer, fraction: float = 0.01, retries: int = 0, seed: int = 0) -> DataFrame:
+    """One row: a bound on the tokens, from a sample's tokens a byte and the bytes of all texts, in one scan.
+
+    Only the sample is tokenized. Each further try (`retries`) doubles what the bound adds to its first safety. With no
+    byte in the sample it is the number of bytes; no documents give 0.
+    """
+    safety = SAFETY + SAFETY_STEP * (2**retries - 1)
+    sized = docs.select("text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b"), (F.rand(seed) < fraction).alias("s"))
+    total, drawn = F.coalesce(F.sum("b"), F.lit(0)), F.sum(F.when(F.col("s"), F.col("b")))
+    tokens = F.sum(F.when(F.col("s"), F.size(tokenizer.tokens(F.col("text")))))
+    return sized.agg(F.coalesce(F.try_divide(F.lit(safety) * total * tokens, drawn), total).cast("long").alias("tokens"))
+
+
 def synthetic_lines(spark: SparkSession, n: int, words: int, vocabulary: list[str], seed: int = 42) -> DataFrame:
     """(line_id, text): n lines of `words` words drawn by a hash of their place."""
     arr = F.array(*[F.lit(w) for w in vocabulary])
