@@ -17,6 +17,7 @@ from ..operators import pruning
 from ..operators import soft
 from ..operators import tokens as TK
 from ..operators import vectors as V
+from ..operators.kwic import START, STEP
 from ..operators.tokenizers import LETTERS, SPACES, WORDS
 from ..scratch import scratch
 from ..sources import text as S
@@ -30,6 +31,7 @@ ORACLES: dict[str, str] = {}
 # Fixed phrases and levels of the registered searches.
 PHRASE, SECOND, LOW = "the of", "on the and", 0.20
 EVERY = 128
+PADDING = 60
 
 
 def query(sql: str | None = None):
@@ -299,10 +301,24 @@ def continuations(spark, d):
     return G.continuations(index.grams, spark.createDataFrame([(a, b)], "t0 int, t1 int"), 2)
 
 
-@query()
+@query(rf"""WITH {_WIN},
+pat AS (SELECT max(tok) FILTER (token = '{PHRASE.split()[0]}') AS a, max(tok) FILTER (token = '{PHRASE.split()[1]}') AS b FROM voc),
+hits AS (SELECT pos, row_number() OVER (ORDER BY {_T}, pos) - 1 AS rank FROM g, pat WHERE t0 = a AND t1 = b),
+picks AS (SELECT i + 1 AS n, ({START} + {STEP} * i) % (SELECT count(*) FROM hits) AS rank FROM range(10) r(i) WHERE i < (SELECT count(*) FROM hits)),
+ends AS (SELECT n, h.pos, a.doc_id AS d1, a.i AS i1, b.doc_id AS d2, b.i AS i2 FROM picks JOIN hits h USING (rank) JOIN s a ON a.pos = h.pos JOIN s b ON b.pos = h.pos + 1),
+part AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '([^\p{{L}}\p{{N}}]*)([\p{{L}}\p{{N}}]+)', 1) AS gap, regexp_extract_all(coalesce(text, ''), '([^\p{{L}}\p{{N}}]*)([\p{{L}}\p{{N}}]+)', 2) AS raw
+  FROM documents WHERE doc_id IN (SELECT d.doc_id FROM documents d, ends WHERE d.doc_id BETWEEN d1 AND d2)),
+doc AS (SELECT doc_id, text, list_transform(range(len(raw) + 1), lambda k: coalesce(list_sum(list_transform(gap[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(raw[1:k], lambda x: length(x))), 0)) AS upto, list_transform(raw, lambda x: length(x)) AS size FROM part),
+whole AS (SELECT n, pos, d1, d2, i1, i2, string_agg(text, chr(10) ORDER BY doc_id) AS w, coalesce(sum(length(text) + 1) FILTER (doc_id < d2), 0) AS base FROM ends JOIN doc ON doc_id BETWEEN d1 AND d2 GROUP BY ALL),
+cutat AS (SELECT n, pos, w, CAST(a.upto[i1 + 2] - a.size[i1 + 1] AS BIGINT) AS l, CAST(base + b.upto[i2 + 2] AS BIGINT) AS r FROM whole JOIN doc a ON a.doc_id = d1 JOIN doc b ON b.doc_id = d2),
+texts AS (SELECT n, pos, left(w, l) AS before, substr(w, l + 1, r - l) AS match, substr(w, r + 1) AS after FROM cutat),
+near AS (SELECT n, pos, match, before, after, right(before, list_max(list_filter(range({PADDING} + 1), lambda k: strlen(right(before, k)) <= {PADDING}))) AS lt, left(after, list_max(list_filter(range({PADDING} + 1), lambda k: strlen(left(after, k)) <= {PADDING}))) AS rt FROM texts),
+lines AS (SELECT *, ltrim(string_split(lt, chr(10))[-1], ' ') AS ll, rtrim(string_split(rt, chr(10))[1], ' ') AS rl FROM near)
+SELECT CAST(n AS INTEGER) AS n, pos, CASE WHEN NOT contains(lt, chr(10)) AND strlen(before) > {PADDING} AND ll <> '' THEN '...' ELSE '' END || ll AS "left",
+replace(match, chr(10), ' ') AS match, rl || CASE WHEN NOT contains(rt, chr(10)) AND strlen(after) > {PADDING} AND rl <> '' THEN '...' ELSE '' END AS "right" FROM lines""")
 def kwic_sample(spark, d):
     """A fixed sample of hits in context (a top-k report)."""
-    return _index(spark, d).contexts(PHRASE, display=10, padding=60)
+    return _index(spark, d).contexts(PHRASE, display=10, padding=PADDING)
 
 
 # --- vectors ----------------------------------------------------------------------------------------
