@@ -12,30 +12,42 @@ from pyspark.sql import functions as F
 from .wordbytes import ALNUM, LOWER, mix, slices, words
 
 #: Shortest match that a chain takes, words between two matches of a chain at most, and the share of
-#: a template that a chain must cover.
-MIN_MATCH, MAX_GAP, MIN_COVER = 3, 16, 0.6
+#: a template that a chain must cover. A span that counts covers MIN_WORDS words, or a whole template.
+MIN_MATCH, MAX_GAP, MIN_COVER, MIN_WORDS = 3, 16, 0.6, 5
 
 # The phrases and labels of the base scan.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 # Notices as their publishers word them (templates of the scan).
 TEMPLATES = (
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 
 
@@ -129,6 +141,28 @@ def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return list(top.values())
 
 
+def counted(spans: list[tuple]) -> list[tuple]:
+    """Spans (label, first, last, share, covered words) that count.
+
+    They cover MIN_WORDS words or a whole template, and share no more than half the words of the shorter one with a
+    span of another label that covers a larger share of its template, or as large a share in more words: licences
+    share much of their wording, and a notice is the one that it has most of. Equal ones all count.
+    """
+    fit = sorted((s for s in spans if s[4] >= MIN_WORDS or s[3] == 1.0), key=lambda s: (s[1], s[2]))
+    lost = [False] * len(fit)
+    active: list[int] = []
+    for i, a in enumerate(fit):
+        active = [j for j in active if fit[j][2] >= a[1]]
+        for j in active:
+            b = fit[j]
+            common = min(a[2], b[2]) - a[1] + 1
+            if a[0] != b[0] and 2 * common > min(a[2] - a[1], b[2] - b[1]) + 1:
+                lost[i] |= a[3:] < b[3:]
+                lost[j] |= b[3:] < a[3:]
+        active.append(i)
+    return [s for s, gone in zip(fit, lost) if not gone]
+
+
 class LicenseIndex:
     """What a scan needs of base phrases and templates."""
 
@@ -185,6 +219,11 @@ class LicenseIndex:
 
     def scan(self, buf: np.ndarray, off: np.ndarray):
         """For each text: (words, base places [(start, label)], spans [(label, first, last, share)])."""
+        for n, base, spans in self.found(buf, off):
+            yield n, base, sorted({s[:4] for s in spans})
+
+    def found(self, buf: np.ndarray, off: np.ndarray):
+        """As scan, with the words that a span covers as its fifth part."""
         _, _, h, bounds = words(LOWER[buf], off, ALNUM)
         texts = [(int(b - a), [], {}) for a, b in zip(bounds[:-1], bounds[1:])]
         for first, ids in self.runs(h, bounds):
@@ -204,7 +243,7 @@ class LicenseIndex:
             for t, found in matches.items():
                 for a, b, covered in chain(found):
                     if t >= len(self.base) and covered >= MIN_COVER * self.sizes[t]:
-                        spans.append((self.labels[t], a, b, min(1.0, covered / self.sizes[t])))
+                        spans.append((self.labels[t], a, b, min(1.0, covered / self.sizes[t]), covered))
             yield n, sorted(set(base)), sorted(set(spans))
 
 
@@ -221,8 +260,8 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES, id_col: str =
 
     Words are runs of digits, letters and non-ASCII characters of the text with A-Z lower-cased.
     base: phrases counted at every place where their words stand one after the other. templates:
-    spans whose chained matches cover MIN_COVER of a template. score: the largest covered share, 1
-    for a base phrase, 0 without any. Null and empty texts have no words, no labels and score 0.
+    spans whose chained matches cover MIN_COVER of a template, of which `counted` keeps those that name
+    their licence. score: the largest covered share of a span, 1 for a base phrase, 0 without any. Null and empty texts have no words, no labels and score 0.
     Repeated rows are scanned each.
     """
 
@@ -231,7 +270,8 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES, id_col: str =
         for batch in batches:
             rows = []
             for _, buf, off in slices(batch.column(1)):
-                for n, places, spans in index.scan(buf, off):
+                for n, places, spans in index.found(buf, off):
+                    spans = sorted({s[:4] for s in counted(spans)})
                     labels = {x for _, x in places}
                     score = 1.0 if places else max((s[3] for s in spans), default=0.0)
                     rows.append((n, len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted(labels)), ",".join(sorted(labels | {s[0] for s in spans})), score, [dict(zip(("label", "first", "last", "share"), s)) for s in spans]))
