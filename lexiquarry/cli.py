@@ -108,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
         tokenizer = tokenizer_named(args.tokenizer, args.model)
         built = Index.build(spark, corpus_of(spark, args.input, args.jsonl_key), EMBEDDINGS[args.backend](spark, args.vectors), args.index, tokenizer, args.max_vocab)
         print({k: round(v, 2) for k, v in built.timers.report().items()})
-        meta = Index.meta(spark, args.index)
+        meta = built.report()
         print(f"#Lines     : {meta['documents']:,}\n#Tokens    : {meta['tokens']:,}\n#Vocabulary: {meta['words']:,} (ids for {meta['cap']:,})")
         return 0
     index = Index.load(spark, args.index)

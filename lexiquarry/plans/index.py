@@ -84,6 +84,7 @@ class Index:
     cap: int
     tokenizer: Tokenizer = WORDS
     timers: Stopwatches = field(default_factory=Stopwatches)
+    counts: dict[str, int] = field(default_factory=dict)
     _names: dict[str, Row | None] = field(default_factory=dict)
     _held: Lexicon | None = None
     _low: tuple[list[float], float] | None = None
@@ -150,12 +151,16 @@ class Index:
         meta = cls.meta(spark, path)
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         vectors = get("vectors").withColumn("embedding", l2_normalize("embedding"))
-        return cls(get("docs"), get("vocab"), get("stream"), get("windows"), get("grams"), get("starts"), vectors, get("norms"), meta["cap"], tokenizer_of(meta["tokenizer"]))
+        return cls(get("docs"), get("vocab"), get("stream"), get("windows"), get("grams"), get("starts"), vectors, get("norms"), meta["cap"], tokenizer_of(meta["tokenizer"]), counts={k: meta.get(k) for k in ("documents", "tokens", "words", "cap")})
 
     @staticmethod
     def meta(spark: SparkSession, path: str) -> dict:
         return json.loads(spark.read.text(f"{path}/meta").first()[0])
 
+    def report(self) -> dict[str, int]:
+        """Documents, tokens, words that occur under the cap, and ids, as the build counted them."""
+        return dict(self.counts)
+
     @property
     def lexicon(self) -> DataFrame:
         """(tok, token, freq, norm, embedding) of the words that occur: what a search asks of the vocabulary."""

@@ -18,9 +18,11 @@ from ..operators import soft
 from ..operators import tokens as TK
 from ..operators import vectors as V
 from ..operators.kwic import START, STEP
+from ..operators.ranges import range_of
 from ..operators.tokenizers import LETTERS, SPACES, WORDS
 from ..scratch import scratch
 from ..sources import text as S
+from ..sources.vectors import gather
 from ..streaming.counts import token_frequency_stream
 from .index import Index
 
@@ -403,6 +405,67 @@ def edit_costs(spark, d):
     return V.insert_words(index.norms, index.cap, coef, cut, LOW).select("tok", F.round("mult", 6).alias("mult"))
 
 
+# --- lookups ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TOK} SELECT tok, n AS freq, len(embedding) AS dims, round(embedding[1]::DOUBLE, 6) AS x0 FROM voc JOIN embeddings ON vec_id = tok")
+def embedding_gather(spark, d):
+    """The vectors of the words that occur."""
+    c = _Corpus(spark, d)
+    rows = gather(c.vocab.select(F.col("tok").cast("long").alias("tok"), "freq"), _table(spark, d, "embeddings"))
+    return rows.select(F.col("tok").cast("int").alias("tok"), "freq", F.size("embedding").cast("long").alias("dims"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN instr(coalesce(text, ''), ' the ') = 0 THEN -1 ELSE strlen(left(text, instr(text, ' the ') - 1)) END AS INTEGER) AS at FROM documents")
+def byte_find(spark, d):
+    return _docs(spark, d).select("doc_id", C.byte_find(F.col("text"), F.lit(" the ")).cast("int").alias("at"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS l FROM documents),
+p AS (SELECT doc_id, list_sort(list_distinct(l)) AS u, len(list_filter(range(1, len(l)), lambda i: l[i] = '{PHRASE.split()[0]}' AND l[i + 1] = '{PHRASE.split()[1]}')) > 0 AS holds FROM l)
+SELECT doc_id, holds, CAST(coalesce(list_position(u, '{PHRASE.split()[0]}'), 0) - 1 AS INTEGER) AS place FROM p""")
+def sequence_lookups(spark, d):
+    """Whether a document holds the phrase, and the place of its first word among the document's sorted words."""
+    words = TK.document_tokens(_docs(spark, d), LETTERS)
+    phrase = [F.lit(w) for w in PHRASE.split()]
+    return words.select("doc_id", C.contains_run(F.col("words"), F.array(*phrase)).alias("holds"), C.sorted_place(F.array_sort(F.array_distinct("words")), phrase[0]).alias("place"))
+
+
+_BOUNDS = [1 << i for i in range(4, 21)]
+
+
+@query(f"WITH r AS (SELECT len(list_filter({_BOUNDS}, lambda b: b <= n_chars)) AS range FROM documents) SELECT CAST(range AS INTEGER) AS range, count(*) AS n FROM r GROUP BY range")
+def range_histogram(spark, d):
+    """Documents by ranges of their length, between doubling bounds."""
+    return _table(spark, d, "documents").groupBy(range_of(F.col("n_chars"), _BOUNDS).cast("int").alias("range")).agg(F.count("*").alias("n"))
+
+
+_NAMED = r"""b AS (SELECT unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x))) AS token FROM benchmark),
+bn AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS r FROM b GROUP BY token)"""
+
+
+@query(f"WITH {_TOK}, {_NAMED} SELECT CAST(r AS INTEGER) AS tok, token, n AS freq FROM bn JOIN freq USING (token)")
+def named_vocabulary(spark, d):
+    """The corpus's words that vectors name; names are those of the benchmark's words."""
+    items = S.corpus(_table(spark, d, "benchmark"), "item_id")
+    names = TK.vocabulary(TK.token_rows(TK.document_tokens(items, LETTERS)))
+    return TK.named_vocabulary(TK.token_rows(TK.document_tokens(_docs(spark, d), LETTERS)), names.select(F.col("tok").alias("vec_id"), F.col("token").alias("word")))
+
+
+@query(f"WITH {_TOK} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM t) AS tokens, (SELECT count(*) FROM voc) AS words, (SELECT c FROM cap) AS cap")
+def index_report(spark, d):
+    """What an index says of itself once it is built."""
+    meta = _index(spark, d).report()
+    return spark.createDataFrame([(meta["documents"], meta["tokens"], meta["words"], meta["cap"])], "documents long, tokens long, words long, cap long")
+
+
+@query(r"""WITH a AS (SELECT sum(strlen(coalesce(text, ''))) AS b, sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]'))) AS n FROM documents)
+SELECT CAST(floor(1.3::DOUBLE * b * n / b) AS BIGINT) AS tokens FROM a""")
+def token_bound(spark, d):
+    """The bound for sizing ahead of a build, with all documents in its sample."""
+    return S.token_bound(_docs(spark, d), WORDS, 1.0)
+
+
 # --- scoring and pruning ------------------------------------------------------------------------------
 
 
