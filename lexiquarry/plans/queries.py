@@ -590,10 +590,10 @@ def soft_search_benchmark(spark, d):
     return _index(spark, d).search_batch(phrases, 20, 0.45)
 
 
-@query("SELECT CAST(r AS BIGINT) AS line_id, 12 AS words FROM range(1000) t(r)")
+@query("""WITH w AS (SELECT r, i, CAST('0x' || left(md5(r || '-' || i || '-42'), 8) AS BIGINT) % 4 AS k FROM range(1000) t(r), range(1, 13) u(i))
+SELECT CAST(r AS BIGINT) AS line_id, string_agg(['alpha', 'beta', 'gamma', 'delta'][k + 1], ' ' ORDER BY i) AS text FROM w GROUP BY r""")
 def synthetic_corpus(spark, d):
-    lines = S.synthetic_lines(spark, 1000, 12, ["alpha", "beta", "gamma", "delta"])
-    return lines.select("line_id", F.size(F.split("text", " ")).alias("words"))
+    return S.synthetic_lines(spark, 1000, 12, ["alpha", "beta", "gamma", "delta"])
 
 
 @query(r"WITH w AS (SELECT unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]'), lambda x: lower(x))) AS token FROM conversations) SELECT token, count(*) AS freq FROM w GROUP BY token")

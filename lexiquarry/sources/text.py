@@ -105,7 +105,8 @@ def token_bound(docs: DataFrame, tokenizer, fraction: float = 0.01, retries: int
 
 
 def synthetic_lines(spark: SparkSession, n: int, words: int, vocabulary: list[str], seed: int = 42) -> DataFrame:
-    """(line_id, text): n lines of `words` words drawn by a hash of their place."""
+    """(line_id, text): n lines of `words` words, each drawn by the first 32 bits of the md5 of line-place-seed."""
     arr = F.array(*[F.lit(w) for w in vocabulary])
-    pick = lambda i: F.element_at(arr, (F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(len(vocabulary))) + 1).cast("int"))
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id"), i, F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+    pick = lambda i: F.element_at(arr, (drawn(i) % len(vocabulary) + 1).cast("int"))
     return spark.range(n).select(F.col("id").alias("line_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), pick), " ").alias("text"))
