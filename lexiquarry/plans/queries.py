@@ -85,12 +85,11 @@ _BUILT: dict[tuple[str, str], Index] = {}
 
 
 def _index(spark: SparkSession, d: str) -> Index:
-    """The index of a folder's tables, built once in this application's scratch folder."""
+    """The compact index of a folder's tables, built once in this application's scratch folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         path = scratch(spark, "index")
-        Index.build(spark, _docs(spark, d), _table(spark, d, "embeddings"), path, LETTERS)
-        _BUILT[key] = Index.load(spark, path).cached()
+        _BUILT[key] = Index.build(spark, _docs(spark, d), _table(spark, d, "embeddings"), path, LETTERS, compact=True).cached()
     return _BUILT[key]
 
 
@@ -236,7 +235,7 @@ def exact_count(spark, d):
     return _index(spark, d).count(PHRASE)
 
 
-def _patterns(c: _Corpus, spark, d, lengths=(1, 2, 3)) -> DataFrame:
+def _patterns(c: _Corpus | Index, spark, d, lengths=(1, 2, 3)) -> DataFrame:
     """(query_id, ids): the first words of each benchmark passage, 1 to 3 of them."""
     words = S.corpus(_table(spark, d, "benchmark"), "item_id").select("doc_id", LETTERS.tokens(F.col("text")).alias("w"))
     each = words.select("doc_id", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"), "w").where(F.size("w") >= F.col("n"))
@@ -258,7 +257,7 @@ def exact_count_batch(spark, d):
     return G.exact_counts(G.distinct_grams(c.windows), _patterns(c, spark, d))
 
 
-def _shuffled(c: _Corpus, spark, d) -> DataFrame:
+def _shuffled(c: _Corpus | Index, spark, d) -> DataFrame:
     """Triples some of which occur and some don't: the passages' first ids, and those in reverse."""
     p = _patterns(c, spark, d, (3,))
     both = p.select("query_id", F.explode(F.array("ids", F.reverse("ids"))).alias("ids")).distinct()
@@ -271,14 +270,14 @@ g3 AS (SELECT DISTINCT t0, t1, t2 FROM g)"""
 
 @query(f"WITH {_WIN}{_PAT}{_SHUF} SELECT sh.* FROM sh WHERE EXISTS (SELECT 1 FROM g3 WHERE g3.t0 = sh.t0 AND g3.t1 = sh.t1 AND g3.t2 = sh.t2)")
 def prefix_exists(spark, d):
-    c = _Corpus(spark, d)
-    return G.prefix_exists(G.distinct_grams(c.windows), _shuffled(c, spark, d), 3)
+    index = _index(spark, d)
+    return G.prefix_exists(index.starts, _shuffled(index, spark, d), 3)
 
 
 @query(f"WITH {_WIN}{_PAT}{_SHUF} SELECT sh.* FROM sh WHERE NOT EXISTS (SELECT 1 FROM g3 WHERE g3.t0 = sh.t0 AND g3.t1 = sh.t1 AND g3.t2 = sh.t2)")
 def prefix_missing(spark, d):
-    c = _Corpus(spark, d)
-    return G.prefix_missing(G.distinct_grams(c.windows), _shuffled(c, spark, d), 3)
+    index = _index(spark, d)
+    return G.prefix_missing(index.starts, _shuffled(index, spark, d), 3)
 
 
 @query(f"""WITH {_WIN}{_PAT}{_SHUF}, g2 AS (SELECT DISTINCT t0, t1, 1 AS hit FROM g), g3b AS (SELECT *, 1 AS hit FROM g3)
@@ -300,7 +299,7 @@ SELECT {_IDS.format('on')} AS t0, {_IDS.format('the')} AS t1, t2 AS next_tok, cn
 def continuations(spark, d):
     index = _index(spark, d)
     a, b = index.ids(["on", "the"])
-    return G.continuations(index.grams, spark.createDataFrame([(a, b)], "t0 int, t1 int"), 2)
+    return G.continuations(index.starts, spark.createDataFrame([(a, b)], "t0 int, t1 int"), 2)
 
 
 @query(rf"""WITH {_WIN},
@@ -519,7 +518,7 @@ def soft_search_match_only(spark, d):
     ids = index.ids(PHRASE.split())
     pattern = index.vectors.where(F.col("vec_id").isin(ids)).select((F.array_position(F.array(*[F.lit(x) for x in ids]), F.col("vec_id").cast("int")) - 1).cast("int").alias("idx"), "embedding")
     sims = V.similar_words(pattern, index.vectors, LOW, index.cap)
-    found = soft.match_only(index.grams, sims, 2, LOW - 1e-6)
+    found = soft.match_only(index.starts, sims, 2, LOW - 1e-6)
     return soft.render(found, index.vocab).select("phrase", "match_count", F.round("score", 6).alias("score")).where(F.col("score") >= LOW)
 
 
