@@ -12,12 +12,12 @@ from lexiquarry.llm.jaccard import BROADCAST_IDS, jaccard_components
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: null, without a letter, or with labels hardly surer than chance.
+    """Drops texts without a language: null, without a letter, or with letters likelier nonsense than any learned language.
 
     Decided row by row: null ids, repeated rows and other columns pass through; texts of any length are
     read whole; an empty table gives an empty one. Without any labelled document no text has a language.
     """
-    return langid.accepted(docs, langid.fit(docs))
+    return langid.accepted(docs, langid.fit(docs, nonsense=True))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from .common import fold
 from .samples import labelled_sample
-from .wordbytes import LOWER, NONSPACE, slices
+from .wordbytes import ALNUM, LOWER, NONSPACE, slices
 
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 12, 4, 128, 0.02, 5
 #: A text is read in stretches of CORE bytes, each with CONTEXT bytes before it for the network that reads ahead and after
 #: it for the one that reads back. A text ends with white space up to a multiple of STEP bytes, and CONTEXT more.
 CORE, STEP, CONTEXT = 96, 32, 16
 EDGE = 32
+LETTER = ALNUM.copy()
+LETTER[48:58] = False
 #: Documents of each language, documents in all, windows of each language to learn from, and their bytes.
 PER_LANG, TOTAL, WINDOWS_PER_LANG, WINDOW = 250, 20_000, 1500, 48
-#: A document of the pipeline needs labels so many times as sure as chance.
-LIFT = 1.1
+#: Windows without a language for each of one language, and what share of a text's letters may be taken for such.
+NONSENSE_PER_LANG, MOST_NONSENSE = 2, 0.7
 #: Stretches that are run at once.
 STRETCHES = 2048
 
@@ -103,14 +105,16 @@ class GRU:
 
 
 class LanguageModel:
-    """Two GRUs read from either end; each byte gets label probabilities from both states."""
+    """Two GRUs read from either end; each byte gets label probabilities from both states. With nonsense, a last label
+    stands for no language."""
 
-    def __init__(self, langs: list[str], hidden: int = HIDDEN):
+    def __init__(self, langs: list[str], hidden: int = HIDDEN, nonsense: bool = False):
         rng = np.random.default_rng(SEED)
-        self.langs = langs
+        self.langs, self.nonsense = langs, nonsense
+        n = len(langs) + nonsense
         self.ahead, self.back = GRU(rng, hidden), GRU(rng, hidden)
-        self.out = (rng.standard_normal((2 * hidden, len(langs))) * 0.1).astype(np.float32)
-        self.bias = np.zeros(len(langs), np.float32)
+        self.out = (rng.standard_normal((2 * hidden, n)) * 0.1).astype(np.float32)
+        self.bias = np.zeros(n, np.float32)
 
     def states(self, x: np.ndarray, traces: tuple | None = None) -> np.ndarray:
         """(steps, n, 2 hidden) of sequences of one length."""
@@ -159,7 +163,7 @@ class LanguageModel:
     def stretches(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the positions of (n, CONTEXT + size + CONTEXT) bytes but for the context: (size, n, languages)."""
         k, size = self.ahead.h, x.shape[1] - 2 * CONTEXT
-        z = np.empty((size, len(x), len(self.langs)), np.float32)
+        z = np.empty((size, len(x), len(self.bias)), np.float32)
         for t, h in enumerate(self.ahead.run(x[:, : CONTEXT + size])):
             if t >= CONTEXT:
                 np.matmul(h, self.out[:k], out=z[t - CONTEXT])
@@ -174,16 +178,20 @@ class LanguageModel:
 
     def documents(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Mean label probabilities over all positions of each text that are no white space; zeros without any."""
-        return self.pooled(buf, off)[0]
+        return self.pooled(buf, off, NONSPACE)
 
-    def pooled(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same, and the mean of each position's largest probability: how sure the labels are, whatever their mix."""
+    def nonsense_of(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Mean probability of no language over each text's letters, whatever the mix of languages; 0 without any."""
+        return self.pooled(buf, off, LETTER)[:, len(self.langs)]
+
+    def pooled(self, buf: np.ndarray, off: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Mean probabilities over the positions of each text whose bytes are of a kind."""
         low, lens = LOWER[buf], np.diff(off)
         n = -(-lens // CORE)
         doc = np.repeat(np.arange(len(lens)), n)
         start = off[:-1][doc] + CORE * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
         size = -(-np.minimum(CORE, off[1:][doc] - start) // STEP) * STEP
-        sums, sure, count = np.zeros((len(lens), len(self.langs))), np.zeros(len(lens)), np.zeros(len(lens))
+        sums, count = np.zeros((len(lens), len(self.bias))), np.zeros(len(lens))
         for s in np.unique(size).tolist():
             at = np.flatnonzero(size == s)
             for lo in range(0, len(at), STRETCHES):
@@ -191,46 +199,92 @@ class LanguageModel:
                 pos = start[mine, None] + np.arange(-CONTEXT, s + CONTEXT)
                 inside = (pos >= off[:-1][doc[mine], None]) & (pos < off[1:][doc[mine], None])
                 x = np.where(inside, low[np.clip(pos, 0, len(low) - 1)], np.uint8(EDGE))
-                told = NONSPACE[x[:, CONTEXT : CONTEXT + s]]
-                each, weight = self.stretches(x), told.astype(np.float32)
-                p = np.einsum("tnl,nt->nl", each, weight)
-                sure += np.bincount(doc[mine], np.einsum("tn,nt->n", each.max(axis=2), weight), len(lens))
+                told = kind[x[:, CONTEXT : CONTEXT + s]]
+                p = np.einsum("tnl,nt->nl", self.stretches(x), told.astype(np.float32))
                 for j in range(p.shape[1]):
                     sums[:, j] += np.bincount(doc[mine], p[:, j], len(lens))
                 count += np.bincount(doc[mine], told.sum(1), len(lens))
-        count = np.maximum(count, 1)
-        return sums / count[:, None], sure / count
-
-
-def train(sample: list[tuple[str, str]]) -> LanguageModel | None:
-    """From (language, text): windows of each language's texts that start anywhere in them, or up to CONTEXT bytes before."""
+        return sums / np.maximum(count, 1)[:, None]
+
+
+def passages(texts: list[str], n: int, rng) -> list[str]:
+    """n passages of up to four windows, of whole words where those are not long."""
+    out = []
+    for i in rng.integers(0, len(texts), n).tolist():
+        t, size = texts[i], int(rng.integers(1, 4 * WINDOW))
+        at = int(rng.integers(0, max(1, len(t) - size // 2)))
+        first, last = t.rfind(" ", max(0, at - WINDOW), at + 1), t.find(" ", at + size, at + size + WINDOW)
+        out.append(t[first + 1 if first >= 0 else at : last if last >= 0 else at + size])
+    return out
+
+
+def gibberish(texts: list[str], rng) -> list[str]:
+    """Texts with the white space of those given, by turns of these and of other characters: their own in any order, letters
+    and digits, and a stretch of Unicode."""
+    out = []
+    for i, t in enumerate(texts):
+        own = [c for c in t if not c.isspace()]
+        if i % 2 == 0:
+            other = [own[k] for k in rng.permutation(len(own)).tolist()]
+        else:
+            low = int(rng.integers(0xC0, 0xD000))
+            plain = ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdef0123456789")[int(rng.integers(3))]
+            alphabet = plain if i % 4 == 1 else [chr(c) for c in range(low, low + int(rng.integers(16, 2048)))]
+            other = [alphabet[k] for k in rng.integers(0, len(alphabet), len(own)).tolist()]
+        each = iter(other)
+        out.append("".join(c if c.isspace() else next(each) for c in t))
+    return out
+
+
+def numbered(texts: list[str], rng) -> list[str]:
+    """The texts, every other one with numbers between its words: these tell neither language nor nonsense."""
+    out = []
+    for i, t in enumerate(texts):
+        words = t.split(" ")
+        for _ in range(int(rng.integers(1, 4)) if i % 8 < 4 else 0):
+            number = "".join(("0123456789" * 3 + ".-+")[k] for k in rng.integers(0, 33, int(rng.integers(1, 20))).tolist())
+            words.insert(int(rng.integers(0, len(words) + 1)), number)
+        out.append(" ".join(words))
+    return out
+
+
+def train(sample: list[tuple[str, str]], nonsense: bool = False) -> LanguageModel | None:
+    """From (language, text): windows of each language's texts that start anywhere in them, or up to CONTEXT bytes before.
+    With nonsense, also of texts that have no language."""
     langs = sorted({lang for lang, _ in sample})
     if not langs:
         return None
     rng = np.random.default_rng(SEED)
     xs, ys = [], []
-    for k, lang in enumerate(langs):
-        texts = [t.encode() for name, t in sample if name == lang]
+    groups = [([t for name, t in sample if name == lang], WINDOWS_PER_LANG) for lang in langs]
+    if nonsense:
+        # short passages, of languages too: else the end of a text would tell
+        draw = np.random.default_rng(SEED)
+        groups = [(passages(texts, n, draw), n) for texts, n in [*groups, ([t for _, t in sample], NONSENSE_PER_LANG * WINDOWS_PER_LANG)]]
+        groups[-1] = gibberish(groups[-1][0], draw), groups[-1][1]
+        groups = [(numbered(texts, draw), n) for texts, n in groups]
+    for k, (texts, windows) in enumerate(groups):
+        texts = [t.encode(errors="ignore") for t in texts]
         edge = bytes([EDGE])
         low = LOWER[np.frombuffer(b"".join(edge * CONTEXT + t + edge * WINDOW for t in texts), np.uint8)]
         last = np.cumsum([CONTEXT + len(t) + WINDOW for t in texts])
         first = last - np.array([CONTEXT + len(t) + WINDOW for t in texts])
         room = np.cumsum([CONTEXT + max(len(t) - WINDOW // 2, 1) for t in texts])
-        for spot in rng.integers(0, int(room[-1]), WINDOWS_PER_LANG).tolist():
+        for spot in rng.integers(0, int(room[-1]), windows).tolist():
             i = int(np.searchsorted(room, spot, "right"))
             at = int(first[i]) + spot - (int(room[i - 1]) if i else 0)
             xs.append(low[at : at + WINDOW])
             ys.append(k)
-    model = LanguageModel(langs)
-    if len(langs) > 1:
+    model = LanguageModel(langs, nonsense=nonsense)
+    if len(groups) > 1:
         model.fit(np.array(xs), np.array(ys))
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> LanguageModel | None:
-    """Learns from text and language of rows whose crc32(id as text) mod 3 is not 1."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, nonsense: bool = False) -> LanguageModel | None:
+    """Learns from text and language of rows whose crc32(id as text) mod 3 is not 1; with nonsense, also what is no language."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
-    return train(labelled_sample(base.select("id", "text"), base.where(fold(F.col("id"), 3) != 1).select("id", "label"), per_lang, TOTAL))
+    return train(labelled_sample(base.select("id", "text"), base.where(fold(F.col("id"), 3) != 1).select("id", "label"), per_lang, TOTAL), nonsense)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang_pred") -> DataFrame:
@@ -244,7 +298,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     def run(batches):
         for batch in batches:
             p = [model.documents(buf, off) for _, buf, off in slices(batch.column(3))] if model else []
-            p = np.concatenate(p) if p else np.zeros((batch.num_rows, 1))
+            p = np.concatenate(p)[:, : len(model.langs)] if p else np.zeros((batch.num_rows, 1))
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (model is not None)
             best = p.argmax(axis=1)
             names = [model.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist())]
@@ -256,9 +310,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     return base.mapInArrow(run, f"{id_col} long, held_out boolean, {lang_col} string, score double")
 
 
-def accepted(docs: DataFrame, model: LanguageModel | None, lift: float = LIFT, text_col: str = "text") -> DataFrame:
-    """Rows of docs, unchanged, that have languages: not null, with a letter, and with positions whose labels are `lift` times
-    as sure, in the mean, as chance among the learned languages. A text in several languages is as sure as one in one."""
+def accepted(docs: DataFrame, model: LanguageModel | None, most: float = MOST_NONSENSE, text_col: str = "text") -> DataFrame:
+    """Rows of docs, unchanged, that have languages: not null, with a letter, and, if the model knows nonsense, with letters
+    that are nonsense with a mean probability of `most` or less. A text may mix languages."""
     letter = "_has_letter"
     while letter in docs.columns:
         letter += "_"
@@ -266,11 +320,9 @@ def accepted(docs: DataFrame, model: LanguageModel | None, lift: float = LIFT, t
 
     def run(batches):
         for batch in batches:
-            sure = [model.pooled(buf, off)[1] for _, buf, off in slices(batch.column(at))] if model else []
-            sure = np.concatenate(sure) if sure else np.zeros(batch.num_rows)
             ok = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool) & (model is not None)
-            if model and len(model.langs) > 1:
-                ok &= sure >= lift / len(model.langs)
+            if model and model.nonsense and batch.num_rows:
+                ok &= np.concatenate([model.nonsense_of(buf, off) for _, buf, off in slices(batch.column(at))]) <= most
             yield batch.filter(pa.array(ok)).select(range(flag))
 
     return docs.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
