@@ -299,7 +299,7 @@ SELECT {_IDS.format('on')} AS t0, {_IDS.format('the')} AS t1, t2 AS next_tok, cn
 def continuations(spark, d):
     index = _index(spark, d)
     a, b = index.ids(["on", "the"])
-    return G.continuations(index.starts, spark.createDataFrame([(a, b)], "t0 int, t1 int"), 2)
+    return G.continuations(index.starts, F.broadcast(spark.createDataFrame([(a, b)], "t0 int, t1 int")), 2)  # one row
 
 
 @query(rf"""WITH {_WIN},

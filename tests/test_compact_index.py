@@ -101,3 +101,18 @@ def test_packed_triples(spark, monkeypatch):
     ends = sorted((p[0][:3], p[-1][:3]) for p in parts)
     assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
     assert CD.triples(rows.limit(0)).collect() == []
+
+
+def test_continuations_shuffle_no_triples(spark):
+    """The one prefix goes to the triples, whatever Spark makes of their sizes."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = Q.continuations(spark, SF)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        index = Q._index(spark, SF)
+        a, b = index.ids(["on", "the"])
+        assert bag(got) == Counter(tuple(r) for r in index.starts.where(f"t0 = {a} and t1 = {b}").select("t0", "t1", "t2", "cnt").collect())
+    finally:
+        spark.conf.set(key, before)
