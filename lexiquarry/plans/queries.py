@@ -24,7 +24,7 @@ from ..scratch import scratch
 from ..sources import text as S
 from ..sources.vectors import gather
 from ..streaming.counts import token_frequency_stream
-from .index import Index
+from .index import Index, Staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,11 +85,10 @@ _BUILT: dict[tuple[str, str], Index] = {}
 
 
 def _index(spark: SparkSession, d: str) -> Index:
-    """The compact index of a folder's tables, built once in this application's scratch folder."""
+    """The compact index of a folder's tables, of which each is built once, when it is asked for, in this application's scratch folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
-        path = scratch(spark, "index")
-        _BUILT[key] = Index.build(spark, _docs(spark, d), _table(spark, d, "embeddings"), path, LETTERS, compact=True).cached()
+        _BUILT[key] = Staged(spark, _docs(spark, d), _table(spark, d, "embeddings"), scratch(spark, "index"), LETTERS)
     return _BUILT[key]
 
 

@@ -116,3 +116,18 @@ def test_continuations_shuffle_no_triples(spark):
         assert bag(got) == Counter(tuple(r) for r in index.starts.where(f"t0 = {a} and t1 = {b}").select("t0", "t1", "t2", "cnt").collect())
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.fixture
+def fresh(spark, tmp_path, monkeypatch):
+    """The registered queries' index, not yet built, and what of it is written."""
+    monkeypatch.setattr(Q, "_BUILT", {})
+    monkeypatch.setattr(Q, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    return lambda: {p.name for p in tmp_path.glob("index/*")}
+
+
+def test_edit_costs_reads_words_alone(spark, fresh):
+    """Norms are made of words and counts: ids of the documents and their triples were written for them as well."""
+    assert Q.edit_costs(spark, SF).count()
+    assert Q.index_report(spark, SF).count() == 1
+    assert fresh() == {"words", "vocab", "norms"}
