@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -517,7 +518,9 @@ def soft_search_match_only(spark, d):
     ids = index.ids(PHRASE.split())
     pattern = index.vectors.where(F.col("vec_id").isin(ids)).select((F.array_position(F.array(*[F.lit(x) for x in ids]), F.col("vec_id").cast("int")) - 1).cast("int").alias("idx"), "embedding")
     sims = V.similar_words(pattern, index.vectors, LOW, index.cap)
-    found = soft.match_only(index.starts, sims, 2, LOW - 1e-6)
+    near = sims.select("idx", "tok").toArrow()  # ids of the vocabulary
+    places = [near.column("tok").filter(pc.equal(near.column("idx"), i)).to_pylist() for i in range(2)]
+    found = soft.match_only(index.triples_of(places), sims, 2, LOW - 1e-6)
     return soft.render(found, index.vocab).select("phrase", "match_count", F.round("score", 6).alias("score")).where(F.col("score") >= LOW)
 
 

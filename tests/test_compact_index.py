@@ -133,7 +133,7 @@ def test_edit_costs_reads_words_alone(spark, fresh):
     assert fresh() == {"words", "vocab", "norms"}
 
 
-@pytest.mark.parametrize("name", ["exact_count", "kwic_sample"])
+@pytest.mark.parametrize("name", ["exact_count", "kwic_sample", "soft_search_match_only"])
 def test_questions_of_one_phrase_write_no_triples(spark, fresh, name):
     """The distinct triples took the most disk of all, and one phrase was all they were asked for."""
     rows = bag(getattr(Q, name)(spark, SF))
